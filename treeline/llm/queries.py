@@ -2,12 +2,18 @@
 
 from treeline.llm.chat import op9_chat_format
 from treeline.llm.decontam import OP10_SQL, op10_decontaminate
+from treeline.llm.html import op5_html_extract
+from treeline.llm.quality import op3_quality
 from treeline.llm.simhash import op6_near_duplicates
+from treeline.llm.spans import op7_sentence_spans
 from treeline.llm.topk import OP2_SQL, op2_top_k
 
 QUERIES = {
     "op2_top_k": op2_top_k,
+    "op3_quality": op3_quality,
+    "op5_html_extract": op5_html_extract,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_sentence_spans": op7_sentence_spans,
     "op9_chat_format": op9_chat_format,
     "op10_decontaminate": op10_decontaminate,
 }
