@@ -8,9 +8,11 @@ from treeline.llm.mixing import OP4_SQL, op4_mix_sources
 from treeline.llm.quality import op3_quality
 from treeline.llm.simhash import op6_near_duplicates
 from treeline.llm.spans import op7_sentence_spans
+from treeline.llm.suffix import op1_suffix_dedup
 from treeline.llm.topk import OP2_SQL, op2_top_k
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_top_k": op2_top_k,
     "op3_quality": op3_quality,
     "op4_mix_sources": op4_mix_sources,
