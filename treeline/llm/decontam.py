@@ -40,7 +40,7 @@ class Sketches:
     """The sketches of one block of items, by size of shingle and by size of item."""
 
     def __init__(self, items: list[tuple[int, str]], words: int, threshold: float):
-        self.items, self.sizes = [], {}
+        self.items, self.sizes, self.threshold = [], {}, threshold
         found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             raw = (text or "").encode()
@@ -71,6 +71,20 @@ class Sketches:
                 hit.update(owners[k])
         return hit
 
+    def verified(self, text: bytes) -> list[tuple[int, int, int, float]]:
+        """(item_id, shared shingles, shingles of the item, containment) of the items that the text holds."""
+        out, own = [], None
+        grams: dict[int, set[bytes]] = {}
+        for k in sorted(self.candidates(text)):
+            item_id, n, shingles = self.items[k]
+            own = words_of(text) if own is None else own
+            if n not in grams:
+                grams[n] = shingles_of(own, n)
+            both = len(shingles & grams[n])
+            if both >= needed(len(shingles), self.threshold):
+                out.append((item_id, both, len(shingles), both / len(shingles)))
+        return out
+
 
 def needed(n: int, threshold: float) -> int:
     """The least number of n shingles that reaches the threshold."""
@@ -109,19 +123,7 @@ def contained(documents: DataFrame, items: DataFrame, words: int = WORDS, thresh
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sketches = Sketches(shared.value, words, threshold)
             for batch in batches:
-                out = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    raw = (text.as_py() or "").encode()
-                    grams: dict[int, set[bytes]] = {}
-                    own = None
-                    for k in sorted(sketches.candidates(raw)):
-                        item_id, n, shingles = sketches.items[k]
-                        own = words_of(raw) if own is None else own
-                        if n not in grams:
-                            grams[n] = shingles_of(own, n)
-                        both = len(shingles & grams[n])
-                        if both >= needed(len(shingles), threshold):
-                            out.append((doc_id, item_id, both, len(shingles), both / len(shingles)))
+                out = [(doc_id, *f) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for f in sketches.verified((text.as_py() or "").encode())]
                 columns = list(zip(*out, strict=True)) or [[]] * 5
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
@@ -131,6 +133,21 @@ def contained(documents: DataFrame, items: DataFrame, words: int = WORDS, thresh
     return result
 
 
+def clean(documents: DataFrame, items: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``documents``, with all columns, that hold no item as ``contained`` would find it."""
+    spark, text = documents.sparkSession, documents.columns.index("text")
+    for block in blocks_of(items.select(F.col("item_id").cast("long"), F.col("text").cast("string")), block_items, block_bytes):
+        shared = spark.sparkContext.broadcast(block)
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sketches = Sketches(shared.value, words, threshold)
+            for batch in batches:
+                yield batch.filter(pa.array([not sketches.verified((t.as_py() or "").encode()) for t in batch.column(text)], pa.bool_()))
+
+        documents = documents.mapInArrow(keep, documents.schema)
+    return documents
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -148,6 +148,35 @@ def fitted(training: DataFrame, shrinkage: float = 0.2, ridge: float = 0.05) ->
     return Model(centre, scale, np.array([(means[c] - centre) / scale for c in (0, 1)]), np.array(factors), np.array(constants))
 
 
+def _remainder(held_out: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out
+
+
+def _taught(x: DataFrame, labels: DataFrame, held_out: int) -> DataFrame:
+    """x, label of the labelled rows of ``x`` that are not held out."""
+    taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1)).filter(_remainder(held_out) != 0)
+    return x.join(taught, "doc_id")
+
+
+def _scores(model: Model | float, rows) -> np.ndarray:
+    if isinstance(model, float):
+        return np.full(len(rows), model)
+    return np.round(model.scores(np.stack(rows)), 6) if len(rows) else np.empty(0)
+
+
+def accepted(documents: DataFrame, labels: DataFrame, held_out: int = 5, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``documents``, with all columns, that ``scored`` would predict as 1."""
+    model = documents.sparkSession.sparkContext.broadcast(fitted(_taught(features(documents), labels, held_out)))
+    text = documents.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [statistics((t.as_py() or "").encode()) for t in batch.column(text)]
+            yield batch.filter(pa.array(_scores(model.value, rows) >= threshold))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def scored(documents: DataFrame, labels: DataFrame, held_out: int = 5, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``documents``.
 
@@ -157,22 +186,16 @@ def scored(documents: DataFrame, labels: DataFrame, held_out: int = 5, threshold
     the labels lack a class, every score is 1, 0 or (no labels) 0.5. Repeated rows are repeated in the
     result. Only doc_id and text, and doc_id and quality, are read.
     """
-    spark = documents.sparkSession
     x, _ = written(features(documents), "features")
-    remainder = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % held_out
-    taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1)).filter(remainder("doc_id") != 0)
-    model = spark.sparkContext.broadcast(fitted(x.join(taught, "doc_id")))
+    model = x.sparkSession.sparkContext.broadcast(fitted(_taught(x, labels, held_out)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = model.value
-            rows = batch.column(1).to_numpy(zero_copy_only=False)
-            out = np.full(len(rows), m) if isinstance(m, float) else m.scores(np.stack(rows)) if len(rows) else np.empty(0)
-            out = np.round(out, 6)
+            out = _scores(model.value, batch.column(1).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array((out >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     done = x.mapInArrow(score, "doc_id long, score double, predicted int")
-    return done.select("doc_id", F.coalesce(remainder("doc_id") == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+    return done.select("doc_id", F.coalesce(_remainder(held_out) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

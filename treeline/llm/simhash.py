@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.llm.common import table, written
@@ -149,5 +149,20 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     return marked.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def representatives(documents: DataFrame, **options) -> DataFrame:
+    """The rows of ``documents``, with all columns, without near-duplicates: of each component the row of
+    the smallest doc_id stays. Of rows that repeat this doc_id, the one of the smallest text stays. Rows
+    with a null doc_id can't be told apart by it and stay."""
+    found = near_duplicates(documents, **options)
+    named = found.filter("doc_id IS NOT NULL")
+    documents = documents.join(named.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(documents.columns)
+    again = named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    if not again.isEmpty():
+        first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
+        kept = documents.join(again, "doc_id", "left_semi").withColumn("__place", F.row_number().over(first)).filter("__place = 1").drop("__place")
+        documents = documents.join(again, "doc_id", "left_anti").unionByName(kept.select(documents.columns))
+    return documents
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treeline.llm.common import table
 
@@ -68,27 +69,25 @@ def _hashes(documents: DataFrame, sentences: int, words: int) -> DataFrame:
     return documents.mapInArrow(scan, "h1 long, h2 long, doc long")
 
 
-KEPT = "doc long, text string, n_sentences int, n_removed int"
-
-
-def deduplicated(documents: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """doc_id, text, n_sentences, n_removed of every row: its text without repeated spans.
+def deduplicated(documents: DataFrame, sentences: int = SENTENCES, words: int = WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the columns ``carry``, n_sentences, n_removed of every row: its text without repeated spans.
 
     Sentences end at ``.``, ``!``, ``?`` or a newline and are compared by their words, white space aside;
     pieces without words are no sentences and stay. Null texts are empty. Rows with a null doc_id come
     after all others and don't displace each other, nor do rows with the same doc_id. Texts of fewer than
     ``sentences`` sentences or ``words`` words have no span and stay whole. Repeated rows are repeated in
-    the result. Only doc_id and text are read. An empty table gives an empty result.
+    the result. Only doc_id, text and ``carry`` are read. An empty table gives an empty result.
     """
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    hashes = _hashes(docs, sentences, words)
+    doc_id = F.col("doc_id").cast("long")
+    docs = documents.select(F.coalesce(doc_id, F.lit(LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(doc_id.alias("doc_id"), *carry).alias("other"))
+    hashes = _hashes(docs.select("doc", "text"), sentences, words)
     again = hashes.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
     later = hashes.join(again, ["h1", "h2"]).filter("doc > lo").groupBy("doc").agg(F.collect_set("h1").alias("later"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, later in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for text, later in zip(batch.column(0), batch.column(1), strict=True):
                 raw = text.as_py().encode()
                 pieces, where, found = spans_of(raw, sentences, words)
                 gone = set(later.values.to_numpy().tolist()) if later.is_valid else set()
@@ -98,11 +97,13 @@ def deduplicated(documents: DataFrame, sentences: int = SENTENCES, words: int =
                         removed[i : e + 1] = True
                 drop = {where[k] for k in np.flatnonzero(removed)}
                 kept = b"".join(p for k, p in enumerate(pieces) if k not in drop) if drop else raw
-                out.append((doc, kept.decode(), len(where), len(drop)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 4, (pa.int64(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["doc", "text", "n_sentences", "n_removed"])
+                out.append((kept.decode(), len(where), len(drop)))
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True)), batch.column(2)], ["text", "n_sentences", "n_removed", "other"])
 
-    kept = docs.join(later, "doc", "left").mapInArrow(cut, KEPT)
-    return kept.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), "text", "n_sentences", "n_removed")
+    found = docs.join(later, "doc", "left").select("text", "later", "other")
+    kept = found.mapInArrow(cut, T.StructType([T.StructField("text", T.StringType()), T.StructField("n_sentences", T.IntegerType()), T.StructField("n_removed", T.IntegerType()), docs.schema["other"]]))
+    return kept.select("other.doc_id", "text", *[F.col(f"other.{c}") for c in carry], "n_sentences", "n_removed")
 
 
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
