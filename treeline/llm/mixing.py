@@ -83,7 +83,7 @@ def mixed(documents: DataFrame, domain: Column, weights: dict[str, dict[str, int
     ``share``: the budget as a fraction (numerator, denominator) of all tokens; ``epochs`` is how often
     the document is taken. Tokens are words between ASCII white space. Null domain, lang and source are
     "" and make leaves of their own; null texts and texts without words have no tokens and are taken where
-    the prefix reaches them. A leaf without tokens gives nothing. Equal order keys (same doc_id) are taken
+    a prefix of at least one token reaches them. A leaf without tokens gives nothing. Equal order keys (same doc_id) are taken
     in order of tokens; repeated rows count each. Only doc_id, text, lang and source (and what ``domain``
     reads) are used. An empty table gives an empty result. Weights are positive integers, and the
     tokens times the sum of a level's weights must stay below 2**63.
@@ -103,8 +103,8 @@ def mixed(documents: DataFrame, domain: Column, weights: dict[str, dict[str, int
     buckets = ordered.groupBy(*keys, "bucket").agg(F.sum("tokens").alias("in_bucket")).withColumn("until", F.sum("in_bucket").over(along)).select(*keys, "bucket", "until", (F.col("until") - F.col("in_bucket")).alias("since"))
     placed = ordered.join(buckets, [*keys, "bucket"])
     within = Window.partitionBy(*keys, "bucket").orderBy("h", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    border = (F.col("since") <= F.col("rest")) & (F.col("rest") < F.col("until"))
-    sure = placed.filter(~border).withColumn("more", F.when(F.col("until") <= F.col("rest"), 1).otherwise(0))
+    border = (F.col("rest") > 0) & (F.col("since") <= F.col("rest")) & (F.col("rest") < F.col("until"))
+    sure = placed.filter(~border).withColumn("more", F.when((F.col("until") <= F.col("rest")) & (F.col("rest") > 0), 1).otherwise(0))
     cut = placed.filter(border).withColumn("more", F.when(F.col("since") + F.sum("tokens").over(within) <= F.col("rest"), 1).otherwise(0))
     taken = sure.unionByName(cut).withColumn("epochs", F.col("whole") + F.col("more")).filter("epochs > 0")
     return taken.select("doc_id", *keys, "tokens", "epochs")
@@ -149,5 +149,5 @@ root AS (SELECT least(sum(tokens * {MAX_EPOCHS}), sum(tokens) * {SHARE[0]} // {S
 {_level_sql("source", ["domain", "lang"], "lang_g")},
 plan AS (SELECT domain, lang, source, given // tokens AS whole, given % tokens AS rest FROM leaves JOIN source_g USING (domain, lang, source)),
 o AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || whole::BIGINT || ':' || coalesce(doc_id::VARCHAR, '')), tokens ROWS UNBOUNDED PRECEDING) AS until FROM docs JOIN plan USING (domain, lang, source))
-SELECT doc_id, domain, lang, source, tokens, (whole + (until <= rest)::INTEGER)::BIGINT AS epochs FROM o WHERE whole + (until <= rest)::INTEGER > 0
+SELECT doc_id, domain, lang, source, tokens, (whole + (rest > 0 AND until <= rest)::INTEGER)::BIGINT AS epochs FROM o WHERE whole + (rest > 0 AND until <= rest)::INTEGER > 0
 """
