@@ -32,7 +32,10 @@ def read(text: Column, pattern: str, zone: str = "UTC") -> Column:
         return text.try_cast("bigint")
     if pattern == "unixseconds":
         return text.try_cast("bigint") * 1000
-    stamp = F.try_to_timestamp(text, F.lit(pattern.replace("Y", "y")))
+    pattern = pattern.replace("Y", "y")
+    stamp = F.try_to_timestamp(text, F.lit(pattern))
+    if re.search(r"(?<!y)yy(?!y)", pattern):  # two-digit years are those from 1950 to 2049
+        stamp = F.when(F.year(stamp) >= 2050, F.add_months(stamp, -1200).cast("timestamp") + (stamp - F.date_trunc("day", stamp))).otherwise(stamp)
     return F.unix_millis(F.to_utc_timestamp(stamp, zone) if zone != "UTC" else stamp)
 
 

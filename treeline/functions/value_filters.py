@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -469,8 +470,6 @@ def _seen(v, bits=None, size=1 << 16, hashes=4, **options):
 @value_filter("python", "eval-java", "javascript")
 def _python(v, body=None, type="string"):  # noqa: A002
     """A user's function of one value, given as Python (a callable or the text of a lambda), run on Arrow batches."""
-    import pandas as pd
-
     f = body if callable(body) else eval(body, {"json": json, "re": re})  # noqa: S307
 
     @F.pandas_udf(type)
