@@ -179,3 +179,13 @@ def test_entry_without_the_corpus_package():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "gather" in e.queries()
+
+
+def test_series(spark):
+    pairs = [tuple(x.split()) for x in "cat a 1|cat b 2|cat a 3|cat b 3|dog a 6|dog b 7|dog a 8|dog b 8|dog b 9|dog b 4|dog a 2|dog b 3|dog a 6|dog a 8|foo a 3|bar a 3".split("|")]
+    assert table(spark, pairs, "diff=kad") == [("cat", "", 1), ("cat", "", 0), ("dog", "", 1), ("dog", "", 0), ("dog", "+", 9), ("dog", "+", 4), ("dog", "", 1), ("dog", "", 2), ("foo", "-", -3)]
+    days = [("MONDAY", "10"), ("TUESDAY", "10"), ("WEDNESDAY", "10"), ("THURSDAY", "1000"), ("FRIDAY", "10"), ("SATURDAY", "10")]
+    assert table(spark, days, "changepoints=0:1") == [("THURSDAY", "PEAK", 990)]
+    steady = table(spark, [(str(k), str(10 + k % 4)) for k in range(24)], "holtwinters=0:1:0.2:0.2:0.2:4:1")
+    assert len(steady) == 24 and all(abs(r[3]) < 15 for r in steady[12:])
+    assert [tuple(r) for r in run(Rows.of(spark.createDataFrame([], "t string, v string"), "t"), "changepoints=0:1").shown().collect()] == []

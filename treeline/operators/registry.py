@@ -32,7 +32,7 @@ def split_ops(text: str) -> list[tuple[str, str]]:
 
 
 def run(rows: Rows, pipeline: str) -> Rows:
-    from treeline.operators import aggregate, order, project, rolling  # noqa: F401  they register themselves
+    from treeline.operators import aggregate, order, project, rolling, series  # noqa: F401  they register themselves
 
     for name, args in split_ops(pipeline):
         if name not in OPS:
