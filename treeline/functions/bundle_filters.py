@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeline.functions import dates
+from treeline.functions.ordered_filters import ORDERED, ordered
 from treeline.functions.value_filters import Value, filtered
 from treeline.plans.rows import N, Rows
 
@@ -56,8 +57,13 @@ def _put(rows: Rows, field: str, value: Column) -> Rows:
 @bundle_filter("field", "has", "is-not-empty", "test-field")
 def _field(rows, toFilter=None, nullFail=True, to=None, test=False, **options):  # noqa: N803
     source = options.get("from")
-    before = _get(rows, source)
-    after = filtered(before, toFilter or options.get("filter") or "pass")
+    spec = toFilter or options.get("filter") or "pass"
+    if isinstance(spec, dict) and spec["op"] in ORDERED:
+        rows, result = ordered(rows, source, spec)
+        rows = replace(rows, df=rows.df.withColumn("__result", result))
+        after = Value(F.col("__result"))
+    else:
+        after = filtered(_get(rows, source), spec)
     name = f"__verdict{len(rows.df.columns)}"
     passed = after.c.isNotNull() if nullFail else F.lit(True)
     rows = replace(rows, df=rows.df.withColumn(name, ~passed if options.get("not") else passed))
@@ -309,3 +315,11 @@ def _url(rows, field, setHost=None, setPath=None, setParams=None, setAnchor=None
         if name:
             rows = _put(rows, name, value)
     return rows, F.coalesce(F.length(host) > 0, F.lit(False))
+
+
+@bundle_filter("http")
+def _http(rows, field, url, to=None):
+    """A request for each distinct row batch value: ``url`` with {{}} for the field's value; the answer's text."""
+    from treeline.functions.value_filters import fetched
+
+    return _put(rows, to or field, fetched(_get(rows, field).text, url)), F.lit(True)

@@ -477,3 +477,62 @@ def _python(v, body=None, type="string"):  # noqa: A002
         return values.map(f, na_action="ignore")
 
     return Value(apply(v.c), T._parse_datatype_string(type))
+
+
+@value_filter("cache", whole=True)
+def _cache(v, value=None, filter=None):  # noqa: A002
+    """The filter's result for one given value, for all rows."""
+    return filtered(Value(F.lit(value), v.kind if value is None else S), filter) if filter else Value(F.lit(value), S)
+
+
+@value_filter("grepTags")
+def _grep_tags(v, tagName="a", tagAttrs=(), values=()):  # noqa: N803
+    """How often each value is in the attributes of a page's tags of one name (none: null)."""
+    tag = re.compile(rf"<{re.escape(tagName)}\b((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.I)
+    attribute = re.compile(r"([\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+    wanted, texts = {a.lower() for a in tagAttrs}, list(values)
+
+    def count(html: str) -> dict | None:
+        found: dict[str, int] = {}
+        for m in tag.finditer(html):
+            given = {a[0].lower(): "".join(a[1:]).lower() for a in attribute.findall(m[1])}
+            for a in wanted & given.keys():
+                for t in texts:
+                    if t in given[a]:
+                        found[t] = found.get(t, 0) + 1
+        return found or None
+
+    @F.pandas_udf("map<string,int>")
+    def apply(pages: pd.Series) -> pd.Series:
+        return pages.map(count, na_action="ignore")
+
+    return Value(apply(v.text), T.MapType(S, T.IntegerType()))
+
+
+def _fetch(url: str) -> str:
+    import urllib.request
+
+    with urllib.request.urlopen(url, timeout=60) as answer:  # noqa: S310
+        return answer.read().decode(errors="replace")
+
+
+def fetched(value: Column, url: str) -> Column:
+    """The answer to ``url`` with {{}} replaced by the value; equal values of a batch are asked for once."""
+
+    @F.pandas_udf("string")
+    def apply(values: pd.Series) -> pd.Series:
+        known = {x: _fetch(url.replace("{{}}", str(x))) for x in values.dropna().unique()}
+        return values.map(known)
+
+    return apply(value)
+
+
+@value_filter("httpget")
+def _http_get(v, template="{{}}"):
+    return Value(fetched(v.text, template), S)
+
+
+@value_filter("fetch-once")
+def _fetch_once(v, url=None):
+    """One request, made by the driver."""
+    return Value(F.lit(_fetch(url)), S)

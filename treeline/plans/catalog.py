@@ -210,6 +210,10 @@ bundles("bundle_recent", "events", ["event_id", "user_id", "unix_seconds(cast(ts
 bundles("bundle_time_range", "orders", ["o_orderkey", "unix_millis(cast(o_orderdate as timestamp)) as at"], {"op": "time-range", "field": "at", "after": "960101", "before": "970101"}, "SELECT o_orderkey, epoch_ms(o_orderdate) AS at FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'")
 bundles("bundle_url", "pages", ["page_id", "url"], {"op": "url", "field": "url", "setHost": "host", "setPath": "path"}, "SELECT page_id, url, lower(regexp_extract(url, '^[^:]+://([^/:?#]*)', 1)) AS host, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path FROM pages")
 
+bundles("bundle_band", "orders", ORDERS[:2], {"op": "field", "from": "o_custkey", "filter": {"op": "band-pass", "minHits": 1, "maxHits": 3}}, "SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) BETWEEN 2 AND 3", order=BY_KEY)
+bundles("bundle_count", "orders", ORDERS[:2], {"op": "field", "from": "o_custkey", "to": "n", "filter": {"op": "count", "start": 5, "increment": 2}}, "SELECT o_orderkey, o_custkey, 5 + 2 * (row_number() OVER (ORDER BY o_orderkey) - 1) AS n FROM orders", order=BY_KEY)
+bundles("bundle_serial", "orders", ORDERS[:2], {"op": "field", "from": "o_custkey", "to": "s", "filter": {"op": "serial", "base": 16, "prefix": "x", "round": 4}}, "SELECT o_orderkey, o_custkey, 'x' || lower(to_hex(r - r % 4)) AS s FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders)", order=BY_KEY)
+
 # --- trees ---
 
 
@@ -277,6 +281,25 @@ def tree_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.pruned(order_tree(spark, sf_dir), ["orders", "*"], F.col("name") >= "1996").nodes.select("path", "hits")
 
 
+@query("tree_lookup", "SELECT c_custkey, n AS hits FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def tree_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = trees.built(table(spark, sf_dir, "orders"), [{"const": "orders"}, {"field": "o_custkey"}])
+    return trees.looked_up(table(spark, sf_dir, "customer").select("c_custkey"), t, [("const", "orders"), ("field", "c_custkey")], "hits")
+
+
+@query("tree_alias", f"WITH n AS (SELECT path, count(*) AS hits FROM {N_SQL} GROUP BY path) SELECT * FROM n UNION ALL SELECT list_concat(['urgent'], path[3:]), hits FROM n WHERE len(path) > 2 AND path[2] = '1-URGENT' UNION ALL SELECT ['urgent'], 0")
+def tree_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.aliased(order_tree(spark, sf_dir), ["urgent"], ["orders", "1-URGENT"]).nodes.select("path", "hits")
+
+
+@query("tree_limited", f"""
+WITH n AS (SELECT path, count(*) AS hits FROM {N_SQL} GROUP BY path),
+k AS (SELECT path FROM n WHERE len(path) = 3 QUALIFY row_number() OVER (PARTITION BY path[:2] ORDER BY hits DESC, path[3]) <= 3)
+SELECT path, hits FROM n WHERE len(path) < 3 OR path[:3] IN (SELECT path FROM k)""")
+def tree_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.limited(order_tree(spark, sf_dir), ["orders", "*"], 3).nodes.select("path", "hits")
+
+
 # --- sources and builders ---
 
 

@@ -140,6 +140,52 @@ def pruned(tree: Tree, below: list[str], keep: Column) -> Tree:
     return Tree(with_children(kept), tree.attachments, tree.of_children)
 
 
+def limited(tree: Tree, below: list[str], size: int, by: str = "hits", age: int | None = None) -> Tree:
+    """Of the children of each node that matches ``below`` (* for any name), the ``size`` of the greatest ``by`` (hits,
+    or a column of an attachment such as ``time.last``; ties by name) stay, and all under them. ``age``: those whose
+    ``by`` is more than this below their parent's greatest go, too."""
+    depth = len(below) + 1
+    own = F.col("depth") == depth
+    for k, n in enumerate(below):
+        own = own & (F.lit(True) if n == "*" else F.get("path", F.lit(k)) == n)
+    parent = F.slice("path", F.lit(1), F.lit(depth - 1))
+    children = tree.nodes.filter(own).select("path", parent.alias("__parent"), "name", F.col(f"`{by}`").alias("__by"))
+    order = Window.partitionBy("__parent").orderBy(F.col("__by").desc_nulls_last(), "name")
+    stay = children.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= size)
+    if age is not None:
+        latest = children.groupBy("__parent").agg(F.max("__by").alias("__most"))
+        stay = stay.join(latest, "__parent").filter(F.col("__most") - F.col("__by") <= age)
+    matched = F.col("depth") >= depth
+    for k, n in enumerate(below):
+        matched = matched & (F.lit(True) if n == "*" else F.get("path", F.lit(k)) == n)
+    kept = tree.nodes.filter(matched).withColumn("__child", F.slice("path", F.lit(1), F.lit(depth))).join(stay.select(F.col("path").alias("__child")), "__child", "left_semi").drop("__child")
+    nodes = tree.nodes.filter(~matched).unionByName(kept.select(tree.nodes.columns)).drop("depth", "name", "nodes")
+    return Tree(with_children(nodes), tree.attachments, tree.of_children)
+
+
+def aliased(tree: Tree, at: list[str], target: list[str]) -> Tree:
+    """With the nodes under ``target`` also under ``at``, as the tree is now."""
+    n = len(target)
+    under = (F.col("depth") > n) & (F.slice("path", F.lit(1), F.lit(n)) == F.array(*map(F.lit, target)))
+    here = F.concat(F.array(*map(F.lit, at)), F.slice("path", F.lit(n + 1), F.col("depth") - n))
+    copies = tree.nodes.filter(under).withColumn("path", here)
+    heads = [at[:k] for k in range(1, len(at) + 1)]
+    missing = tree.nodes.sparkSession.range(1).select(F.explode(F.array(*[F.array(*map(F.lit, h)) for h in heads])).alias("path")).join(tree.nodes.select("path"), "path", "left_anti").withColumn("hits", F.lit(0).cast("long"))
+    every = tree.nodes.unionByName(copies).drop("depth", "name", "nodes").unionByName(missing, allowMissingColumns=True)
+    return Tree(with_children(every), tree.attachments, tree.of_children)
+
+
+def looked_up(df: DataFrame, tree: Tree, path: list[tuple[str, str]], to: str, what: str = "hits") -> DataFrame:
+    """``df`` with a node's ``hits``, ``nodes`` or name of children (``names``) in a new column; null where there is no
+    such node. ``path``: ("const", name) or ("field", column) for each level."""
+    wanted = F.array(*[F.lit(x) if kind == "const" else F.col(f"`{x}`").cast("string") for kind, x in path])
+    level = tree.nodes.filter(F.col("depth") == len(path))
+    if what == "names":
+        below = tree.nodes.filter(F.col("depth") == len(path) + 1)
+        level = below.groupBy(F.slice("path", F.lit(1), F.lit(len(path))).alias("path")).agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return df.withColumn("__path", wanted).join(level.select(F.col("path").alias("__path"), F.col(what).alias(to)), "__path", "left").drop("__path")
+
+
 # --- path queries ----------------------------------------------------------
 
 
