@@ -159,7 +159,7 @@ def limited(tree: Tree, below: list[str], size: int, by: str = "hits", age: int
     for k, n in enumerate(below):
         matched = matched & (F.lit(True) if n == "*" else F.get("path", F.lit(k)) == n)
     kept = tree.nodes.filter(matched).withColumn("__child", F.slice("path", F.lit(1), F.lit(depth))).join(stay.select(F.col("path").alias("__child")), "__child", "left_semi").drop("__child")
-    nodes = tree.nodes.filter(~matched).unionByName(kept.select(tree.nodes.columns)).drop("depth", "name", "nodes")
+    nodes = tree.nodes.filter(~matched).unionByName(kept.select(*[F.col(f"`{c}`") for c in tree.nodes.columns])).drop("depth", "name", "nodes")
     return Tree(with_children(nodes), tree.attachments, tree.of_children)
 
 
