@@ -189,3 +189,15 @@ def test_series(spark):
     steady = table(spark, [(str(k), str(10 + k % 4)) for k in range(24)], "holtwinters=0:1:0.2:0.2:0.2:4:1")
     assert len(steady) == 24 and all(abs(r[3]) < 15 for r in steady[12:])
     assert [tuple(r) for r in run(Rows.of(spark.createDataFrame([], "t string, v string"), "t"), "changepoints=0:1").shown().collect()] == []
+
+
+def test_sketches(spark):
+    from treeline.functions.sketches import count_min_count
+
+    df = spark.createDataFrame([("a",)] * 5 + [("bcdefg",)] * 3 + [(None,)], "v string")
+    cms = df.agg(F.count_min_sketch("v", F.lit(0.001), F.lit(0.99), F.lit(1)).alias("s"))
+    assert cms.select(count_min_count(F.col("s"), "a"), count_min_count(F.col("s"), "bcdefg"), count_min_count(F.col("s"), "x"), count_min_count(F.col("s"), None)).first() == (5, 3, 0, 8)
+    bloom = run(Rows.of(df), "seen=v").plain().first()[0]
+    other = spark.createDataFrame([("a",), ("bcdefg",), ("x",), (None,)], "v string")
+    passed = other.select(filtered(Value(F.col("v")), {"op": "seen", "bloom": bloom}).c.alias("v")).collect()
+    assert [r.v for r in passed] == ["a", "bcdefg", None, None]

@@ -1,19 +1,80 @@
-"""Sketches as expressions: bits of Bloom filters."""
+"""Sketches: Bloom filters as bitmaps, and reading count-min sketches."""
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Bits of a bitmap that Spark's bitmap functions make.
+BITS = 32_768
+
 
-def bloom_bits(value: Column, bits: int, hashes: int) -> Column:
-    """The bits that a value sets (none if it is null), by double hashing."""
+def _place(value: Column, k: int) -> Column:
     text = value.cast("string")
-    a, b = F.xxhash64(text, F.lit(1)), F.xxhash64(text, F.lit(2)).bitwiseOR(1)
-    where = F.array(*[F.pmod(F.pmod(a, F.lit(bits)) + F.lit(k) * F.pmod(b, F.lit(bits)), F.lit(bits)).cast("int") for k in range(hashes)])
-    return F.when(value.isNotNull(), F.array_distinct(where)).otherwise(F.array().cast("array<int>"))
+    return F.pmod(F.pmod(F.xxhash64(text, F.lit(1)), F.lit(BITS)) + F.lit(k) * F.pmod(F.xxhash64(text, F.lit(2)), F.lit(BITS)), F.lit(BITS))
+
+
+def bloom_aggregate(value: Column, hashes: int) -> Column:
+    """A Bloom filter of 32768 bits over a group's values: one bitmap for each hash, one after the other."""
+    return F.concat(*[F.bitmap_construct_agg(_place(F.when(value.isNotNull(), value), k)) for k in range(hashes)])
+
+
+def in_bloom(bloom: Column, value: Column, hashes: int) -> Column:
+    """Whether a filter may hold the value; null for a null value."""
+    found = F.lit(True)
+    for k in range(hashes):
+        place = _place(value, k)
+        byte = F.conv(F.hex(F.substr(bloom, (F.floor(place / 8) + k * (BITS // 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        found = found & (F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1)
+    return F.when(value.isNotNull(), found)
+
+
+def bloom_size(bloom: Column) -> Column:
+    """How many bits are set."""
+    return F.bitmap_count(bloom)
+
+
+def _signed(x: int) -> int:
+    x &= 0xFFFFFFFF
+    return x - (1 << 32) if x >> 31 else x
+
+
+def _murmur(data: bytes, seed: int) -> int:
+    """Murmur3 as Spark has it for bytes: whole words, then each byte that is left as a word of its own."""
+    mask, h = 0xFFFFFFFF, seed & 0xFFFFFFFF
+    rotate = lambda x, r: (x << r | x >> (32 - r)) & mask
+    whole = len(data) // 4 * 4
+    words = [*struct.unpack(f"<{whole // 4}i", data[:whole]), *struct.unpack(f"{len(data) - whole}b", data[whole:])]
+    for w in words:
+        h = (rotate(h ^ rotate((w & mask) * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask, 13) * 5 + 0xE6546B64) & mask
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    return _signed(h ^ h >> 16)
+
+
+def count_min_estimate(sketch: bytes, value: str | None) -> int | None:
+    """A value's count (null: the total) in what the aggregate ``count_min_sketch`` of texts has made."""
+    _, total, depth, width = struct.unpack_from(">iqii", sketch)
+    if value is None:
+        return total
+    raw = value.encode()
+    a = _murmur(raw, 0)
+    b = _murmur(raw, a)
+    counts = []
+    for k in range(depth):
+        mixed = _signed(a + k * b)
+        place = abs(mixed) % width  # the sign of a remainder is that of what is divided
+        counts.append(struct.unpack_from(">q", sketch, 20 + 8 * depth + 8 * (k * width + place))[0])
+    return min(counts)
+
 
+def count_min_count(sketch: Column, value: str | None) -> Column:
+    @F.pandas_udf("long")
+    def read(sketches: pd.Series) -> pd.Series:
+        return sketches.map(lambda s: count_min_estimate(s, value), na_action="ignore").astype("Int64")
 
-def in_bloom(bloom: Column, value: Column, bits: int, hashes: int) -> Column:
-    """Whether a filter (an array of set bits) may hold the value."""
-    return F.size(F.array_except(bloom_bits(value, bits, hashes), bloom)) == 0
+    return read(sketch)

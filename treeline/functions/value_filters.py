@@ -462,8 +462,9 @@ def _not(v, filter=None):  # noqa: A002
 
 
 @value_filter("seen")
-def _seen(v, bits=None, size=1 << 16, hashes=4, **options):
-    known = in_bloom(F.array(*map(F.lit, bits or [])).cast("array<int>"), v.c, size, hashes)
+def _seen(v, bloom=None, hashes=4, **options):
+    """Values that a Bloom filter (its bytes, as the op ``seen`` makes them) may hold; with ``not``, the others."""
+    known = in_bloom(F.lit(bytes(bloom)), v.c, hashes)
     return _kept(v, ~known if options.get("not") else known)
 
 

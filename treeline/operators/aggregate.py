@@ -39,8 +39,7 @@ def merging(rows: Rows, letter: str, ref: int) -> Column:
         case "M":
             return F.max(number)
         case "p":
-            # signs and zeros apart, so that the product is one of logarithms only where it must be
-            return F.aggregate(F.collect_list(number), F.lit(1.0), lambda a, x: a * x)
+            return F.product(number)
         case "d":
             return 2 * F.min_by(number, F.when(number.isNotNull(), at)) - F.sum(number)
         case "j":
@@ -335,10 +334,8 @@ def remove_singletons(rows: Rows, args: str) -> Rows:
 
 @op("seen")
 def seen(rows: Rows, args: str) -> Rows:
-    """``column[,bits,hashes]``: one row with a Bloom filter of the column, a sorted list of its set bits."""
-    from treeline.functions.sketches import bloom_bits
+    """``column[,hashes]``: one row with a Bloom filter of the column."""
+    from treeline.functions.sketches import bloom_aggregate
 
-    ref, *size = args.split(",")
-    bits, hashes = int(size[0]) if size else 1 << 16, int(size[1]) if len(size) > 1 else 4
-    df = rows.df.select(F.explode(bloom_bits(rows.col(ref), bits, hashes)).alias("b")).agg(F.array_sort(F.collect_set("b")).alias("bloom"))
-    return Rows(df, ("bloom",))
+    ref, *hashes = args.split(",")
+    return Rows(rows.df.agg(bloom_aggregate(rows.col(ref), int(hashes[0]) if hashes else 4).alias("bloom")), ("bloom",))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeline.functions import dates
-from treeline.functions.sketches import bloom_bits, in_bloom
+from treeline.functions.sketches import bloom_aggregate, bloom_size, count_min_count, in_bloom
 
 TYPES: dict[str, Callable[[dict], Attachment]] = {}
 
@@ -26,6 +26,7 @@ class Attachment:
     value: Callable[[Callable[[str], Column], str], Column]
     nodes: Callable[[Callable[[str], Column], str], Column] | None = None
     merges: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
+    top: int = 0  # if not 0, the tree adds a buffer ``top``: so many most frequent values of the key, with their counts
 
 
 def attachment(*names: str):
@@ -107,36 +108,30 @@ def _count(o):
 
 @attachment("count.min.sketch")
 def _count_min(o):
-    """Exact counts of a key's values: ``total``, and ``val(x)``; values as nodes ``%=a~b``."""
-    count = lambda b, v: F.size(F.filter(b("all"), lambda x: x == v))
+    """Estimated counts of a key's values: ``total``, and ``val(x)``; values as nodes ``%=a~b``."""
+    sketch = lambda c: F.count_min_sketch(c, F.lit(float(o.get("error", 0.001))), F.lit(float(o.get("confidence", 0.99))), F.lit(1))
     return Attachment(
         {"key": o["key"]},
-        lambda own, k: {"all": F.collect_list(own(k("key").cast("string")))},
-        lambda b, x: F.size(b("all")).cast("long") if x in ("", "total") else count(b, F.lit(x[4:-1])).cast("long"),
-        lambda b, x: F.array(*[F.struct(F.lit(v).alias("name"), count(b, F.lit(v)).cast("long").alias("hits")) for v in x.split("~")]),
+        lambda own, k: {"cms": sketch(own(k("key").cast("string")))},
+        lambda b, x: count_min_count(b("cms"), None if x in ("", "total") else x[4:-1]),
+        lambda b, x: F.array(*[F.struct(F.lit(v).alias("name"), count_min_count(b("cms"), v).alias("hits")) for v in x.split("~")]),
     )
 
 
 @attachment("key.top")
 def _key_top(o):
-    """The most frequent values of a key, exact: ``k1`` and ``v1`` the first value and its count, ``gKEY`` a
-    value's count, ``size``; as nodes the ``size`` greatest, ties by name."""
-    size = int(o.get("size", 10))
-
-    def top(b):
-        names = F.array_distinct(b("all"))
-        counted = F.transform(names, lambda v: F.struct((-F.size(F.filter(b("all"), lambda x: x == v))).alias("n"), v.alias("name")))
-        return F.transform(F.slice(F.array_sort(counted), 1, size), lambda x: F.struct(x["name"].alias("name"), (-x["n"]).cast("long").alias("hits")))
+    """The ``size`` most frequent values of a key, exact, ties by name: ``k1`` and ``v1`` the first value and its count,
+    ``gKEY`` a value's count if it is among them, ``size``; as nodes all of them."""
 
     def value(b, x):
         if x in ("", "size"):
-            return F.size(top(b)).cast("long")
+            return F.size(b("top")).cast("long")
         if x[0] in "kv" and x[1:].isdigit():
-            at = F.get(top(b), F.lit(int(x[1:]) - 1))
+            at = F.get(b("top"), F.lit(int(x[1:]) - 1))
             return at["name"] if x[0] == "k" else at["hits"]
-        return F.size(F.filter(b("all"), lambda v: v == x[1:])).cast("long")
+        return F.get(F.filter(b("top"), lambda v: v["name"] == x[1:]), F.lit(0))["hits"]
 
-    return Attachment({"key": o["key"]}, lambda own, k: {"all": F.collect_list(own(k("key").cast("string")))}, value, lambda b, x: top(b))
+    return Attachment({"key": o["key"]}, lambda own, k: {}, value, lambda b, x: b("top"), top=int(o.get("size", 10)))
 
 
 @attachment("copy", "map")
@@ -166,21 +161,14 @@ def _bits(o):
 
 @attachment("distribution")
 def _distribution(o):
-    """Exact quantiles at place q * (n + 1), mean, max, min, stdev and median of a node's values."""
+    """Approximate quantiles (median, 75 to 999) of a node's values; their mean, max, min and stdev."""
     share = {"median": 0.5, "75": 0.75, "95": 0.95, "98": 0.98, "99": 0.99, "999": 0.999}
-
-    def at(b, q):
-        n = F.size(b("v"))
-        place = F.greatest(F.least(F.lit(q) * (n + 1), n.cast("double")), F.lit(1.0))
-        low = F.floor(place).cast("int")
-        a, z = (F.get(b("v"), k) for k in (low - 1, F.least(low, n - 1)))
-        return a + (place - low) * (z - a)
+    number = lambda k: k("key").cast("string").try_cast("double")
 
     def value(b, x):
-        return at(b, share[x or "median"]) if (x or "median") in share else b(x)
+        return F.get(b("q"), F.lit(list(share).index(x or "median"))) if (x or "median") in share else b(x)
 
-    number = lambda k: k("key").cast("string").try_cast("double")
-    return Attachment({"key": o["key"]}, lambda own, k: {"v": F.array_sort(F.collect_list(own(number(k)))), "mean": F.avg(own(number(k))), "max": F.max(own(number(k))), "min": F.min(own(number(k))), "stdev": F.stddev(own(number(k)))}, value)
+    return Attachment({"key": o["key"]}, lambda own, k: {"q": F.percentile_approx(own(number(k)), list(share.values()), 10_000), "mean": F.avg(own(number(k))), "max": F.max(own(number(k))), "min": F.min(own(number(k))), "stdev": F.stddev(own(number(k)))}, value)
 
 
 @attachment("tdigest")
@@ -200,18 +188,18 @@ def _tdigest(o):
 
 @attachment("bloom", "seen")
 def _bloom(o):
-    """A Bloom filter of a key as a set of bits; ``a~b`` tells whether all the values may be in it (1 or null)."""
-    bits, hashes = int(o.get("bits", 1 << 16)), int(o.get("hash", 4))
+    """A Bloom filter of a key; ``a~b`` tells whether all the values may be in it (1 or null), ``bits`` how many are set."""
+    hashes = int(o.get("hash", 4))
 
     def value(b, x):
         if x in ("bits", "sat"):
-            return F.size(b("bits")).cast("long")
+            return bloom_size(b("bits"))
         test = F.lit(True)
         for v in x.split("~"):
-            test = test & in_bloom(b("bits"), F.lit(v), bits, hashes)
+            test = test & in_bloom(b("bits"), F.lit(v), hashes)
         return F.when(test, F.lit(1))
 
-    return Attachment({"key": o["key"]}, lambda own, k: {"bits": F.array_distinct(F.flatten(F.collect_set(own(bloom_bits(k("key"), bits, hashes)))))}, value)
+    return Attachment({"key": o["key"]}, lambda own, k: {"bits": bloom_aggregate(own(k("key")), hashes)}, value)
 
 
 @attachment("histo")

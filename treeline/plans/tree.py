@@ -104,9 +104,23 @@ def built(df: DataFrame, elements: list, where: Column | None = None, hits: str
             a = attachments[name]
             aggregates += [c.alias(f"{name}.{suffix}") for suffix, c in a.aggregates(own, lambda k, a=a: F.col(keys[a.keys[k]])).items()]
     nodes = rows.groupBy("path").agg(*aggregates)
+    for n, specs in b.specs.items():
+        for name in specs:
+            if attachments[name].top:
+                key = F.col(keys[attachments[name].keys["key"]]).cast("string").alias("name")
+                nodes = nodes.join(_most_frequent(rows.filter(F.col("element") == n).select("path", key), attachments[name].top, f"{name}.top"), "path", "left")
     return Tree(with_children(nodes), attachments, of_children)
 
 
+def _most_frequent(values: DataFrame, size: int, to: str) -> DataFrame:
+    """path, and the ``size`` most frequent names of each path. Ranks are cut before they are shuffled."""
+    counts = values.filter("name IS NOT NULL").groupBy("path", "name").agg(F.count("*").alias("hits"))
+    rank = Window.partitionBy("path").orderBy(F.desc("hits"), "name")
+    best = counts.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= size)
+    listed = F.array_sort(F.collect_list(F.struct("r", "name", "hits")))
+    return best.groupBy("path").agg(F.transform(listed, lambda x: F.struct(x["name"].alias("name"), x["hits"].alias("hits"))).alias(to))
+
+
 def with_children(nodes: DataFrame) -> DataFrame:
     """Adds depth, name and the number of children to nodes (path, hits, ...)."""
     nodes = nodes.withColumns({"depth": F.size("path"), "name": F.element_at("path", -1)})
