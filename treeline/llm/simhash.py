@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -120,16 +119,51 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = 8192) ->
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     cells = dealt.withColumn("other", other).select("block", "bits", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "fp")
 
-    def search(key, frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[2], key[3]
-        of = lambda p: frame[frame["part"] == p]
-        tree, asked = of(i), of(j)
-        values = lambda f: f["fp"].to_numpy().view(np.uint64)
-        found = forest(values(tree), values(asked), radius)
-        ids, of_tree = asked["id"].to_numpy(), tree["id"].to_numpy()
-        return pd.DataFrame({"a": [ids[q] for q, _ in found], "b": [of_tree[t] for _, t in found]}, dtype="int64")
-
-    return cells.groupBy("block", "bits", "i", "j").applyInPandas(search, "a long, b long").filter("a <> b")
+    keys = ["block", "bits", "i", "j"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in _and_end(batches):
+            own = held if batch is None else [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            if own is None:
+                continue
+            if batch is not None and held is not None:
+                own = [np.concatenate(c) for c in zip(held, own, strict=True)]
+            changes = np.zeros(max(0, len(own[0]) - 1), bool)
+            for c in own[:4]:
+                changes |= c[1:] != c[:-1]
+            begins = np.concatenate([[0], np.flatnonzero(changes) + 1]) if len(own[0]) else np.empty(0, np.int64)
+            ends = np.append(begins[1:], len(own[0]))
+            if batch is not None and len(begins):  # the last shard may go on in the next batch
+                held = [c[begins[-1] :].copy() for c in own]
+                begins, ends = begins[:-1], ends[:-1]
+            a, b = _linked(own, begins, ends, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    dealt_out = cells.select(*keys, "part", "id", "fp").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt_out.mapInArrow(search, "a long, b long").filter("a <> b")
+
+
+def _and_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def _linked(cells: list[np.ndarray], begins: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the shards that lie from ``begins`` to ``ends``. A tree of two nodes is one distance; those are taken together."""
+    _, _, i, j, part, ids, fps = cells
+    values, sizes = fps.view(np.uint64), ends - begins
+    two = begins[sizes == 2]
+    near = two[np.bitwise_count(values[two] ^ values[two + 1]) <= radius]
+    a, b = [ids[near + 1]], [ids[near]]
+    for lo, hi in zip(begins[sizes > 2].tolist(), ends[sizes > 2].tolist(), strict=True):
+        tree = asked = np.arange(lo, hi)
+        if i[lo] != j[lo]:
+            tree, asked = tree[part[lo:hi] == i[lo]], tree[part[lo:hi] == j[lo]]
+        found = forest(values[tree], values[asked], radius)
+        a.append(ids[asked[[q for q, _ in found]]] if found else ids[:0])
+        b.append(ids[tree[[t for _, t in found]]] if found else ids[:0])
+    return np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, shard_rows: int = 8192) -> DataFrame:
