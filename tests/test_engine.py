@@ -161,6 +161,15 @@ def test_sources_and_sinks(spark, tmp_path):
     from treeline.sources.read import bundled
 
     assert bundled(pairs, "query", ["a", "b", "c"]).first() == ("1", " ", None)
+    assert bundled(pairs, "kv", ["a", "b", "c"]).first() == ("1", "%20", None)
+    lines = spark.createDataFrame([("GET /x 200",), ("nonsense",), ("# GET /y 404",)], "value string")
+    assert bundled(lines, "regex", pattern=r"(?<verb>[A-Z]+) (?<path>\S+) (?<code>\d+)", lineFilter={"op": "exclude", "find": "^#"}).collect() == [("GET", "/x", "200")]
+    assert bundled(lines, "noop", ["line"]).columns == ["line"]
+    from treeline.sources.write import encoded
+
+    cells = spark.createDataFrame([("a,b", 'say "x"', None)], "x string, y string, z string")
+    assert [r.value for r in encoded(cells, "csv2", header=True).collect()] == ["x,y,z", '"a,b","say ""x""",']
+    assert encoded(cells, "tsv2").first().value == 'a,b\t"say ""x"""\t'
 
 
 def test_builders(spark):

@@ -10,7 +10,8 @@ from treeline.functions.value_filters import Value, filtered
 from treeline.operators.registry import run
 from treeline.plans import tree as trees
 from treeline.plans.rows import Rows
-from treeline.sources.read import read
+from treeline.sources.read import bundled, read
+from treeline.sources.write import encoded
 from treeline.streaming import builders
 
 QUERIES: dict = {}
@@ -318,6 +319,17 @@ def source_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, spec).select("c_custkey", "c_mktsegment")
 
 
+@query("source_lines", "SELECT o_orderkey::VARCHAR AS key, left(o_orderpriority, 1) AS rank FROM orders WHERE o_orderpriority <> '5-LOW'")
+def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "orders").select(F.concat_ws(" ", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value"))
+    return bundled(lines, "regex", pattern=r"(?<key>\d+) (?<rank>\d)-.*", lineFilter={"op": "exclude", "contains": "5-LOW"})
+
+
+@query("encoded_rows", """SELECT o_orderkey || '|' || o_orderpriority AS value FROM orders""")
+def encoded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "psv2")
+
+
 @query("source_hashed")
 def source_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, {"type": "hashed", "source": {"type": "parquet", "files": f"{sf_dir}/customer.parquet"}, "key": "c_custkey", "shardTotal": 4, "shards": [0, 2]}).select("c_custkey")

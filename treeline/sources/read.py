@@ -17,6 +17,7 @@ from treeline.functions.hashing import in_shard
 from treeline.plans.rows import Rows
 
 SOURCES: dict[str, Callable[..., DataFrame]] = {}
+LINES = ("column", "kv", "query", "regex", "noop")
 
 
 def source(*names: str):
@@ -78,25 +79,54 @@ def dated(path: str, start: datetime | None = None, end: datetime | None = None,
 def _files(spark, files, format="parquet", schema=None, options=None, start=None, end=None, hours=False, stream=False, injectSourceName=None, shardTotal=None, shards=None):  # noqa: A002, N803
     """Files of a format, by date if the paths say so. Shards take the files of their numbers."""
     paths = [p for f in ([files] if isinstance(files, str) else files) for p in dated(f, start, end, hours)]
-    reader = (spark.readStream if stream else spark.read).format("text" if format in ("column", "kv", "query") else format).options(**(options or {}) if format not in ("column", "kv", "query") else {})
-    if schema and format not in ("column", "kv", "query"):
+    reader = (spark.readStream if stream else spark.read).format("text" if format in LINES else format).options(**(options or {}) if format not in LINES else {})
+    if schema and format not in LINES:
         reader = reader.schema(schema)
     df = reader.load(paths[0] if stream else paths)
     if injectSourceName:
         df = df.withColumn(injectSourceName, F.col("_metadata.file_path"))
     if shardTotal:
         df = df.filter(in_shard(F.col("_metadata.file_path"), shardTotal, shards))
-    return bundled(df, format, **(options or {})) if format in ("column", "kv", "query") else df
-
-
-def bundled(df: DataFrame, format: str, columns: list[str] | None = None, sep: str = "\t", pair: str = "=", text: str = "value") -> DataFrame:  # noqa: A002
-    """Lines to rows: ``column`` (tokens in order; what is over goes), ``kv`` (name=value pairs), ``query`` (a query string)."""
+    return bundled(df, format, **(options or {})) if format in LINES else df
+
+
+def bundled(df: DataFrame, format: str, columns: list[str] | None = None, sep: str | None = None, pair: str = "=", text: str = "value", pattern: str | None = None, lineFilter=None) -> DataFrame:  # noqa: A002, N803
+    """Lines to rows. ``column``: tokens in order, what is over goes; ``kv``: name=value pairs between &; ``query``: the
+    same, decoded; ``regex``: the groups of a full match (named, or ``columns``), other lines go; ``noop``: the line."""
+    if lineFilter is not None:
+        from treeline.functions.value_filters import Value, filtered
+
+        df = df.withColumn(text, filtered(Value(F.col(text)), lineFilter).c).filter(F.col(text).isNotNull())
+    others = [F.col(c) for c in df.columns if c != text]
+    line = F.col(text)
+    if format == "noop":
+        return df.select(line.alias(columns[0] if columns else text), *others)
+    if format == "regex":
+        names = columns or sorted(re.compile(re.sub(r"\(\?<(\w)", r"(?P<\1", pattern)).groupindex, key=lambda n: pattern.index(f"<{n}>"))
+        whole = f"^(?:{re.sub(r'[(][?]P?<[A-Za-z]', lambda m: '(?<' + m[0][-1], pattern)})$"
+        return df.filter(line.rlike(whole)).select(*[F.regexp_extract(line, whole, k + 1).alias(n) for k, n in enumerate(names)], *others)
     if format == "column":
-        parts = F.split(F.col(text), "\\Q" + sep + "\\E")
-        return df.select(*[F.get(parts, F.lit(k)).alias(c) for k, c in enumerate(columns)], *[c for c in df.columns if c != text])
-    found = F.expr(f"str_to_map(`{text}`, '{'&' if format == 'query' else sep}', '{pair}')")
-    found = F.transform_values(found, lambda _, v: F.try_url_decode(v)) if format == "query" else found
-    return df.select(*([F.try_element_at(found, F.lit(c)).alias(c) for c in columns] if columns else [found.alias("fields")]), *[c for c in df.columns if c != text])
+        parts = F.split(line, "\\Q" + (sep or "\t") + "\\E")
+        return df.select(*[F.get(parts, F.lit(k)).alias(c) for k, c in enumerate(columns)], *others)
+    entries = F.filter(F.split(line, "\\Q" + (sep or "&") + "\\E"), lambda x: x != "")
+    cut = lambda x: F.locate(pair, x)
+    split = lambda x: F.struct(F.when(cut(x) > 0, F.substr(x, F.lit(1), cut(x) - 1)).otherwise(x).alias("k"), F.when(cut(x) > 0, F.substr(x, cut(x) + len(pair))).alias("v"))
+    found = F.transform(entries, split)
+    decoded = (lambda v: F.try_url_decode(v)) if format == "query" else (lambda v: v)
+    if columns:  # the first pair of a name counts
+        return df.select(*[decoded(F.get(_named(found, c), F.lit(0))["v"]).alias(c) for c in columns], *others)
+    return df.select(F.transform(found, lambda e: F.struct(e["k"].alias("name"), decoded(e["v"]).alias("value"))).alias("fields"), *others)
+
+
+def _named(pairs, name: str):
+    return F.filter(pairs, lambda e: e["k"] == name)
+
+
+@source("gson")
+def _gson(spark, files, schema=None):
+    """Files that hold an array of objects each; numbers are doubles."""
+    df = spark.read.option("multiLine", True).option("prefersDecimal", False).json(files, schema=schema) if schema else spark.read.option("multiLine", True).json(files)
+    return df.withColumns({c: F.col(c).cast("double") for c, kind in df.dtypes if kind in ("bigint", "int")})
 
 
 @source("json")

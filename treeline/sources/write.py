@@ -48,7 +48,7 @@ def _filtered(df, filter, output):  # noqa: A002
     write(apply(Rows.of(df), filter).plain(), output)
 
 
-@sink("multi", "outputs")
+@sink("chain", "multi", "outputs")
 def _multi(df, outputs):
     for o in outputs:
         write(df, o)
@@ -68,6 +68,55 @@ def _key_value(df, path, key, value):
     df.groupBy(key).agg(F.max(value).alias(value)).write.mode("overwrite").parquet(path)
 
 
-@sink("noop")
+@sink("empty", "noop")
 def _noop(df):
     df.write.format("noop").mode("overwrite").save()
+
+
+@sink("http")
+def _http(df, url, batchSize=1000, retries=3):  # noqa: N803
+    """JSON lines, POSTed in batches by the tasks."""
+    lines = df.select(F.to_json(F.struct("*")).alias("line"))
+
+    def post(rows) -> None:
+        import time
+        import urllib.request
+
+        def send(batch: list[str]) -> None:
+            for k in range(retries):
+                try:
+                    urllib.request.urlopen(urllib.request.Request(url, "\n".join(batch).encode(), {"Content-Type": "application/json"}), timeout=60).close()  # noqa: S310
+                    return
+                except OSError:
+                    if k == retries - 1:
+                        raise
+                    time.sleep(2**k)
+
+        batch: list[str] = []
+        for r in rows:
+            batch.append(r[0])
+            if len(batch) >= batchSize:
+                send(batch)
+                batch = []
+        if batch:
+            send(batch)
+
+    lines.foreachPartition(post)
+
+
+def encoded(df: DataFrame, format: str = "csv2", header: bool = False) -> DataFrame:  # noqa: A002
+    """Rows as lines of text: ``json``, or ``csv2``, ``psv2``, ``tsv2`` (comma, bar, tab; texts that hold the delimiter, a
+    quote or a line break stand in quotes, quotes doubled; nulls are empty). One column, ``value``."""
+    if format == "json":
+        return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
+    by = {"csv2": ",", "psv2": "|", "tsv2": "\t"}[format]
+
+    def cell(c: str):
+        text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        return F.when(text.contains(by) | text.contains('"') | text.contains("\n"), quoted).otherwise(text)
+
+    lines = df.select(F.concat_ws(by, *[cell(c) for c in df.columns]).alias("value"))
+    if not header:
+        return lines
+    return df.sparkSession.range(1).select(F.lit(by.join(df.columns)).alias("value")).unionByName(lines)
