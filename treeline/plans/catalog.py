@@ -304,7 +304,7 @@ def tree_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources and builders ---
 
 
-@query("source_aggregate", "SELECT n_name AS name, n_nationkey AS key FROM nation UNION ALL SELECT r_name, r_regionkey FROM region UNION ALL SELECT unnest(['x', 'x', 'x']), 1")
+@query("source_aggregate", "SELECT n_name AS name, n_nationkey::BIGINT AS key FROM nation UNION ALL SELECT r_name, r_regionkey FROM region UNION ALL SELECT unnest(['x', 'x', 'x']), 1")
 def source_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     def part(name: str, prefix: str) -> DataFrame:
         return read(spark, {"type": "files", "files": f"{sf_dir}/{name}.parquet"}).select(F.col(f"{prefix}_name").alias("name"), F.col(f"{prefix}_{name}key").cast("long").alias("key"))
