@@ -210,3 +210,15 @@ def test_sketches(spark):
     other = spark.createDataFrame([("a",), ("bcdefg",), ("x",), (None,)], "v string")
     passed = other.select(filtered(Value(F.col("v")), {"op": "seen", "bloom": bloom}).c.alias("v")).collect()
     assert [r.v for r in passed] == ["a", "bcdefg", None, None]
+
+
+def test_reservoir(spark):
+    counts = {1: 10, 2: 12, 3: 11, 4: 9, 5: 30}
+    df = spark.createDataFrame([("h", e) for e, n in counts.items() for _ in range(n)], "host string, epoch long")
+    t = trees.built(df, [{"field": "host", "data": {"r": {"type": "reservoir", "epochField": "epoch", "size": 5}}}])
+    assert [tuple(r) for r in trees.query(t, "+/+%r:+hits").shown().collect()] == [("h", str(e), counts[e]) for e in (5, 4, 3, 2, 1)]
+    got = trees.query(t, "+$+r=epoch||5~obs||4~mode||sigma~sigma||2").shown().first()[1]
+    spread = (sum((x - 10.5) ** 2 for x in (10, 12, 11, 9)) / 4) ** 0.5
+    assert got[:4] == [30 - (10.5 + 2 * spread), 30, 10.5, spread]
+    assert trees.query(t, "+$+r=epoch||4~obs||3~mode||sigma~sigma||2").shown().first()[1] is None
+    assert trees.query(t, "+$+r=epoch||5~obs||4~mode||modelfit~percentile||95").shown().first()[1][5] > 99

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeline.functions import dates
+from treeline.functions.anomalies import anomaly, options_of
 from treeline.functions.sketches import bloom_aggregate, bloom_size, count_min_count, in_bloom
 
 TYPES: dict[str, Callable[[dict], Attachment]] = {}
@@ -26,6 +27,7 @@ class Attachment:
     value: Callable[[Callable[[str], Column], str], Column]
     nodes: Callable[[Callable[[str], Column], str], Column] | None = None
     merges: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
+    recent: int = 0  # if not 0, the tree adds a buffer ``recent``: the counts of the key's last so many whole numbers
     top: int = 0  # if not 0, the tree adds a buffer ``top``: so many most frequent values of the key, with their counts
 
 
@@ -222,6 +224,15 @@ def _top(o):
     return Attachment({}, lambda own, k: {}, lambda b, x: F.get(top(b), F.lit(0))["name"], lambda b, x: top(b))
 
 
+@attachment("reservoir")
+def _reservoir(o):
+    """Counts of the last ``size`` epochs. ``epoch||N~obs||N~mode||sigma~sigma||S`` (or ``mode||modelfit~percentile||P``) gives
+    delta, measurement, mean, stddev, mode and percentile if the epoch stands out; ``%name=`` the counts as nodes."""
+    size = int(o["size"])
+    value = lambda b, x: anomaly(b("recent"), size, options_of(x, "||")) if x else F.size(b("recent")).cast("long")
+    return Attachment({"key": o.get("epochField", o.get("key"))}, lambda own, k: {}, value, lambda b, x: b("recent"), recent=size)
+
+
 #: Attachments whose values come from the children of a node rather than from rows.
 OF_CHILDREN = {"histo", "top", "limit.top", "limit.hot", "limit-top", "limit-hot"}
 NODE = T.StructType([T.StructField("name", T.StringType()), T.StructField("hits", T.LongType())])

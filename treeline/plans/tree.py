@@ -109,9 +109,22 @@ def built(df: DataFrame, elements: list, where: Column | None = None, hits: str
             if attachments[name].top:
                 key = F.col(keys[attachments[name].keys["key"]]).cast("string").alias("name")
                 nodes = nodes.join(_most_frequent(rows.filter(F.col("element") == n).select("path", key), attachments[name].top, f"{name}.top"), "path", "left")
+            if attachments[name].recent:
+                key = F.col(keys[attachments[name].keys["key"]]).cast("string").try_cast("bigint").alias("epoch")
+                nodes = nodes.join(_latest(rows.filter(F.col("element") == n).select("path", key), attachments[name].recent, f"{name}.recent"), "path", "left")
     return Tree(with_children(nodes), attachments, of_children)
 
 
+def _latest(values: DataFrame, size: int, to: str) -> DataFrame:
+    """path, and the counts of its last ``size`` epochs, the latest first."""
+    counts = values.filter("epoch IS NOT NULL").groupBy("path", "epoch").agg(F.count("*").alias("hits"))
+    rank = Window.partitionBy("path").orderBy(F.desc("epoch"))
+    best = counts.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= size)
+    listed = F.array_sort(F.collect_list(F.struct("r", "epoch", "hits")))
+    within = F.filter(listed, lambda x: x["epoch"] > F.get(listed, F.lit(0))["epoch"] - size)
+    return best.groupBy("path").agg(F.transform(within, lambda x: F.struct(x["epoch"].cast("string").alias("name"), x["hits"].alias("hits"))).alias(to))
+
+
 def _most_frequent(values: DataFrame, size: int, to: str) -> DataFrame:
     """path, and the ``size`` most frequent names of each path. Ranks are cut before they are shuffled."""
     counts = values.filter("name IS NOT NULL").groupBy("path", "name").agg(F.count("*").alias("hits"))
