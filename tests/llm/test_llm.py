@@ -280,8 +280,7 @@ def spans_by_brute_force(data, sentences=3, words=12):
                 count = sum(len(w) for _, w in own[i : e + 1])
                 shorter = e - i + 1 == sentences
                 if count >= words and (shorter or count - len(own[e][1]) < words or count - len(own[i][1]) < words):
-                    if shorter or count - len(own[e][1]) < words or count - len(own[i][1]) < words:
-                        found.add((i, e))
+                    found.add((i, e))
         for i, e in sorted(found):
             key = tuple(tuple(w) for _, w in own[i : e + 1])
             occurrences.setdefault(key, []).append((d, place, i, e))
