@@ -132,6 +132,8 @@ def test_tree_counts_touches(spark):
     assert [tuple(r) for r in trees.query(t, "root/+/+(1)").shown().collect()] == [("a", "1"), ("b", "3")]
     with pytest.raises(ValueError):
         trees.query(t, "root/+:+nothing")
+    path = "root/+{host}(2):+hits>1/*$+n=avg"
+    assert trees.encoded(trees.decoded(path)) == path and [x["collect"] for x in trees.decoded(path)] == [False, True, False]
 
 
 def test_tree_grows_with_a_stream(spark, tmp_path):

@@ -271,6 +271,12 @@ paths("attachment_histo", "orders/+/+%histo:+hits", "", f"WITH n AS (SELECT path
 paths("path_ops", "orders/+/+/+:+hits", "gather=kiks;sort=2:l:d;limit=5", f"SELECT o_orderpriority AS c0, o_orderstatus AS c2, count(*)::BIGINT AS hits FROM {T_SQL} GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 5")
 
 
+@query("path_union", """SELECT o_orderstatus AS c0, sum(n)::BIGINT AS hits FROM (SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1
+UNION ALL SELECT o_orderstatus, count(*) FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1) GROUP BY 1""")
+def path_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.query(order_tree(spark, sf_dir), ["orders/1-URGENT/+F,O,P:+hits", "orders/5-LOW/+F,O,P:+hits"], "gather=ks", "gather=ks").plain()
+
+
 @query("tree_merged", f"SELECT path, 2 * count(*) AS hits FROM {N_SQL} WHERE len(path) < 4 AND path[3] IS NULL GROUP BY path")
 def tree_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = lambda: trees.built(table(spark, sf_dir, "orders"), [{"const": "orders"}, {"field": "o_orderpriority"}])

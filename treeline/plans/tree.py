@@ -9,7 +9,7 @@ build the node table: path, depth, name, hits, nodes (children), and the buffers
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -307,10 +307,31 @@ def _children(tree: Tree) -> DataFrame:
     return tree.nodes.filter("depth > 1").select(F.slice("path", F.lit(1), F.col("depth") - 1).alias("path"), F.struct("name", "hits").alias("c")).groupBy("path").agg(F.collect_list("c").cast(T.ArrayType(NODE)).alias("children"))
 
 
-def query(tree: Tree, path: str, ops: str = "") -> Rows:
-    """Rows of a path query, in order of path, through ``ops``."""
+def decoded(path: str) -> list[dict]:
+    """The elements of a path as plain data."""
+    return [asdict(x) for x in _levels(path)]
+
+
+def encoded(elements: list[dict]) -> str:
+    """The path of elements that ``decoded`` has made."""
+    return "/".join(x["text"] for x in elements)
+
+
+def query(tree: Tree, path: str | list[str], ops: str = "", rops: str = "") -> Rows:
+    """Rows of a path query, in order of path, through ``rops`` and then ``ops``. Several paths are put together, by
+    position of their columns; ``rops`` then work on each path's rows."""
     from treeline.operators.registry import run
 
+    if isinstance(path, list):
+        parts = [query(tree, p, "", rops) for p in path]
+        names = parts[0].columns
+        frames = [p.plain().toDF(*names).withColumn("__k0", F.lit(k)) for k, p in enumerate(parts)]
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        rows = Rows(out, names, (("__k0", True),))
+        return run(rows, ops) if ops else rows
+
     levels = [x for x in _levels(path)]
     virtual = None
     if levels and levels[-1].match.startswith("%"):
@@ -371,6 +392,7 @@ def query(tree: Tree, path: str, ops: str = "") -> Rows:
     else:
         out = nodes.select(*[c.alias(n) for n, c in columns.items()], F.col("path").alias("__k0"))
         rows = Rows(out, tuple(columns), (("__k0", True),))
+    rows = run(rows, rops) if rops else rows
     return run(rows, ops) if ops else rows
 
 
