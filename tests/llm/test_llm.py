@@ -268,10 +268,10 @@ def test_representatives_keep_one_each(docs, none):
 # --- 7 ---------------------------------------------------------------------
 
 
-def spans_by_brute_force(data, sentences=3, words=12):
+def spans_by_brute_force(data, sentences=2, words=12):
     occurrences, cut = {}, []
     for place, (d, t) in enumerate(data):
-        pieces = re.findall(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", t or "")
+        pieces = [p for p in re.split(r"(?<=[.!?\n])(?![.!?\n])|(?= [A-Z\u00c0-\u00de])", t or "") if p]
         own = [(k, p.split()) for k, p in enumerate(pieces) if re.search(r"[^ \t\n\r\v\f]", p)]
         cut.append((pieces, own))
         found = set()

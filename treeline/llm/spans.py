@@ -20,14 +20,15 @@ from pyspark.sql import types as T
 
 from treeline.llm.common import table
 
-_PIECE = re.compile(rb"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
-SENTENCES, WORDS = 3, 12
+#: Up to the marks or line breaks that end a sentence, or up to a space before a capital (A-Z, U+00C0 to U+00DE).
+_PIECE = re.compile(rb" ?[^.!?\n ]*(?: (?![A-Z]|\xc3[\x80-\x9e])[^.!?\n ]*)*[.!?\n]*")
+SENTENCES, WORDS = 2, 12
 LAST = (1 << 63) - 1
 
 
 def spans_of(text: bytes, sentences: int, words: int) -> tuple[list[bytes], list[int], dict[bytes, list[tuple[int, int]]]]:
     """The pieces of a text; which of them are sentences; and each span's hash with its (first, last) sentences."""
-    pieces = _PIECE.findall(text)
+    pieces = _PIECE.findall(text)[:-1]  # the last match is empty
     plain, where, sizes = [], [], [0]
     for k, piece in enumerate(pieces):
         own = piece.split()
@@ -72,8 +73,9 @@ def _hashes(documents: DataFrame, sentences: int, words: int) -> DataFrame:
 def deduplicated(documents: DataFrame, sentences: int = SENTENCES, words: int = WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the columns ``carry``, n_sentences, n_removed of every row: its text without repeated spans.
 
-    Sentences end at ``.``, ``!``, ``?`` or a newline and are compared by their words, white space aside;
-    pieces without words are no sentences and stay. Null texts are empty. Rows with a null doc_id come
+    Sentences end at ``.``, ``!``, ``?``, a newline, or before a word with a capital, so that a passage set into the
+    middle of another sentence begins one of its own; they are compared by their words, white space aside.
+    Pieces without words are no sentences and stay. Null texts are empty. Rows with a null doc_id come
     after all others and don't displace each other, nor do rows with the same doc_id. Texts of fewer than
     ``sentences`` sentences or ``words`` words have no span and stay whole. Repeated rows are repeated in
     the result. Only doc_id, text and ``carry`` are read. An empty table gives an empty result.
