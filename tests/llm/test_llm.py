@@ -265,6 +265,37 @@ def test_representatives_keep_one_each(docs, none):
     assert simhash.near_duplicates(none).collect() == []
 
 
+def test_representatives_go_by_similarity(spark, docs):
+    """Edited copies (five-word Jaccard of 0.8 or more) go, texts less alike stay; as many shards as rows change nothing."""
+
+    def own(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+
+    texts = []
+    for k in range(12):
+        words = prose(150, 700 + k).split()
+        texts.append(" ".join(words))
+        for edits in (1, 2, 3, 4, 9):
+            changed = list(words)
+            for e in range(edits):
+                changed[10 + e * 130 // edits] = f"edit{e}"
+            texts.append(" ".join(changed))
+    component = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            x, y = own(texts[a]), own(texts[b])
+            if len(x & y) >= 0.8 * len(x | y):
+                component = [component[b] if c == component[a] else c for c in component]
+    least = {c: component.index(c) for c in component}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for shard_rows in (2048, 2):
+        assert {r.doc_id: r.component_id for r in simhash.similar(df, shard_rows=shard_rows).collect()} == {k: least[c] for k, c in enumerate(component)}
+    kept = {r.doc_id for r in simhash.representatives(df).collect()}
+    assert kept == set(least.values()) and 12 <= len(kept) < len(texts) / 2
+    assert {r.fingerprint for r in simhash.near_duplicates(df.limit(1)).collect()} == {f"{plain_fingerprint(texts[0]):016x}"}
+
+
 # --- 7 ---------------------------------------------------------------------
 
 

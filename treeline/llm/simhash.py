@@ -6,6 +6,10 @@ is built for each shard, its children keyed by their Hamming distance to the par
 only edges within the radius. A shard above ``shard_rows`` is split into a grid of pairs of sub-shards:
 each sub-shard's tree is sent to the tasks that hold its queries, a bounded number of rows each.
 A shard gives only a spanning forest of its links, which keeps components and their size in proportion.
+
+``representatives`` takes near-duplicates by similarity (Jaccard of five-word shingles). There the
+fingerprints lie many bits apart, so that blocks of bits would share nearly everything with everything;
+shards are bands of MinHashes instead, and what a shard's BK-tree finds is verified by exact Jaccard.
 """
 
 from __future__ import annotations
@@ -14,31 +18,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.common import table, written
+from treeline.llm.common import mixed, removed, table, written
 from treeline.llm.graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
+#: For near-duplicates by similarity; at 0.8 fingerprints differ in some 10 of 64 bits.
+SIMILAR_SHINGLE, LEAST, SIMILAR_RADIUS = 5, 0.8, 24
 
 
 def fingerprint(text: bytes, n: int = SHINGLE, seed: int = SEED) -> int:
     """64 bits, each set if it is set in over half of the XXH64 of the text's word shingles."""
+    return majority(shingles(text, n, seed))
+
+
+def shingles(text: bytes, n: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The XXH64 of each of the text's word shingles; a text of fewer words is one shingle, if it has any."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     hash_of = xxhash.xxh64_intdigest
     if len(words) < n:
-        return hash_of(b" ".join(words), seed)
+        return np.array([hash_of(b" ".join(words), seed)], np.uint64)
     joined = b" ".join(words)
     begins = [0]
     at = 0
     for w in words:
         at += len(w) + 1
         begins.append(at)
-    hashes = np.array([hash_of(joined[a : b - 1], seed) for a, b in zip(begins, begins[n:])], np.uint64)  # noqa: B905
+    return np.array([hash_of(joined[a : b - 1], seed) for a, b in zip(begins, begins[n:])], np.uint64)  # noqa: B905
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 4096):
         counts += np.unpackbits(hashes[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -183,11 +199,140 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     return marked.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# --- by similarity ---------------------------------------------------------
+
+
+def _digest(own: np.ndarray) -> tuple[int, int]:
+    found = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
+    return int(found[0]), int(found[1])
+
+
+def _bands(own: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """A key for each band of ``rows`` MinHashes of a set of hashes."""
+    factors = mixed(np.arange(1, rows * bands + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(rows * bands, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(own), 8192):
+        np.minimum(least, (own[None, k : k + 8192] * factors[:, None]).min(axis=1), out=least)
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
+    for k in range(rows):
+        keys = mixed(keys * np.uint64(0x100000001B3) + least[k::rows])
+    return keys.view(np.int64)
+
+
+def verified(values: np.ndarray, sets: list[np.ndarray], tree: np.ndarray, asked: np.ndarray, radius: int, least: float) -> list[tuple[int, int]]:
+    """Links (asked, tree) of places in ``values`` and ``sets`` that join what all links within the radius and of
+    a Jaccard similarity of at least ``least`` would."""
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    marked, label, links = np.zeros(len(distinct), bool), np.arange(len(sets)), []
+    for node, near in BKTree(values[tree]).within(values[asked], radius):
+        t = tree[node]
+        q = asked[near]
+        q = q[(label[q] != label[t]) & (np.minimum(sizes[q], sizes[t]) >= least * np.maximum(sizes[q], sizes[t]) - 1e-9)]
+        if not len(q):
+            continue
+        own = codes[ends[t] - sizes[t] : ends[t]]
+        marked[own] = True
+        if 4 * len(q) > len(sets):
+            sums = np.append(0, np.cumsum(marked[codes]))
+            common = sums[ends[q]] - sums[ends[q] - sizes[q]]
+        else:
+            common = np.array([np.count_nonzero(marked[codes[ends[x] - sizes[x] : ends[x]]]) for x in q])
+        marked[own] = False
+        q = q[common >= least * (sizes[q] + sizes[t] - common) - 1e-9]
+        if len(q):
+            merged, first = np.unique(label[q], return_index=True)
+            links += [(int(x), int(t)) for x in q[first]]
+            label[np.isin(label, merged)] = label[t]
+    return links
+
+
+def _verified_links(held: DataFrame, radius: int, least: float, shard_rows: int, shard_bytes: int) -> DataFrame:
+    """Edges (a, b) between ids of ``held`` (id, fp, keys, own), whose rows meet in the shards of their keys."""
+    sizes = held.select(F.explode("keys").alias("key"), F.length("own").cast("long").alias("bytes")).groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("n") / shard_rows), F.ceil(F.col("bytes") / shard_bytes), F.lit(1)).cast("int")
+    dealt = held.select("id", "fp", "own", F.explode("keys").alias("key")).join(sizes.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("id", "fp"), "parts").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    keys = ["key", "i", "j"]
+    cells = dealt.withColumn("other", other).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "fp", "own")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in _and_end(batches):
+            own = [x for x in (rest, None if batch is None else pa.Table.from_batches([batch])) if x is not None]
+            if not own:
+                continue
+            now = pa.concat_tables(own).combine_chunks()
+            key, i, j, part, ids, fps = (now.column(k).to_numpy() for k in range(6))
+            changes = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            begins = np.concatenate([[0], changes]) if len(key) else np.empty(0, np.int64)
+            ends = np.append(begins[1:], len(key))
+            if batch is not None and len(begins):  # the last shard may go on in the next batch
+                rest = now.slice(int(begins[-1]))
+                begins, ends = begins[:-1], ends[:-1]
+            texts, a, b = now.column(6), [], []
+            for lo, hi in zip(begins.tolist(), ends.tolist(), strict=True):
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in texts.slice(lo, hi - lo)]
+                tree = asked = np.arange(hi - lo)
+                if i[lo] != j[lo]:
+                    tree, asked = tree[part[lo:hi] == i[lo]], tree[part[lo:hi] == j[lo]]
+                for x, y in verified(fps[lo:hi].view(np.uint64), sets, tree, asked, radius, least):
+                    a.append(ids[lo + x])
+                    b.append(ids[lo + y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "a long, b long").filter("a <> b")
+
+
+def similar(documents: DataFrame, least: float = LEAST, shingle: int = SIMILAR_SHINGLE, radius: int = SIMILAR_RADIUS, rows: int = 3, bands: int = 14, seed: int = SEED, shard_rows: int = 2048, shard_bytes: int = 32 << 20) -> DataFrame:
+    """doc_id, component_id of every row of ``documents``: the smallest doc_id that links can reach.
+
+    Rows are linked if the sets of their word shingles have a Jaccard similarity of at least ``least``. Each
+    link is verified by the whole sets. A pair of similarity s is a candidate if it shares one of ``bands``
+    bands of ``rows`` MinHashes, with a chance of 1 - (1 - s**rows)**bands (0.9999 at 0.8), and if its
+    fingerprints are within ``radius`` bits. Equal sets, empty ones too, are always linked. Rows with a null
+    doc_id lend their component no id. Only doc_id and text are read.
+    """
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(1):
+                hashes = shingles(text.as_py().encode(), shingle, seed)
+                own = np.unique(hashes)
+                out.append((*_digest(own), np.uint64(majority(hashes)).view(np.int64), _bands(own, rows, bands) if len(own) else None))
+            h1, h2, fp, keys = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "fp", "keys"])
+
+    marked, _ = written(texts.mapInArrow(scan, "doc_id long, h1 long, h2 long, fp long, keys array<long>"), "sketches")
+    distinct, _ = written(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "distinct")
+    each = distinct.filter("id IS NOT NULL").select("id", "h1", "fp", F.explode("keys").alias("key"))
+    # of shards that hold the same rows, one is searched
+    shards = each.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id", "h1")).alias("x"), F.bit_xor(F.xxhash64("h1", "id")).alias("y")).filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    wanted = each.join(shards.select("key"), "key").groupBy("id", "h1", "fp").agg(F.collect_set("key").alias("keys"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(shingles(t.as_py().encode(), shingle, seed)) for t in batch.column(0)]
+            same = pa.array([_digest(x)[0] for x in own], pa.int64())
+            out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x.tobytes() for x in own], pa.binary())], ["id", "h1", "fp", "keys", "own"])
+            yield out.filter(pc.equal(same, batch.column(2)))
+
+    read = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("text", "id", "h1", "fp", "keys").mapInArrow(sets, "id long, h1 long, fp long, keys array<long>, own binary")
+    held, path = written(read.groupBy("id", "h1", "fp").agg(F.first("keys").alias("keys"), F.first("own").alias("own")), "sets")
+    roots, _ = components(_verified_links(held, radius, least, shard_rows, shard_bytes))
+    removed(documents.sparkSession, path)
+    known = distinct.join(roots, distinct["id"] == roots["node"], "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
+    return marked.select("doc_id", "h1", "h2").join(known, ["h1", "h2"]).select("doc_id", "component_id")
+
+
 def representatives(documents: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents``, with all columns, without near-duplicates: of each component the row of
-    the smallest doc_id stays. Of rows that repeat this doc_id, the one of the smallest text stays. Rows
+    """The rows of ``documents``, with all columns, without near-duplicates: of each component of ``similar`` the
+    row of the smallest doc_id stays. Of rows that repeat this doc_id, the one of the smallest text stays. Rows
     with a null doc_id can't be told apart by it and stay."""
-    found = near_duplicates(documents, **options)
+    found = similar(documents, **options)
     named = found.filter("doc_id IS NOT NULL")
     documents = documents.join(named.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(documents.columns)
     again = named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
