@@ -357,6 +357,13 @@ def test_license_scan(spark):
     assert licenses.scanned(df.limit(0)).collect() == []
 
 
+def test_license_scan_without_english_terms(spark):
+    """Notices without the usual English terms are found, too, and those of other languages are named."""
+    texts = ["Released under the GNU GPL, version 3.", "Available under CC BY-NC 4.0.", "Alle Rechte vorbehalten.", "Die Lizenz steht in der Datei.", "La licencia es libre.", prose(30, 5), prose(90, 6).replace(".", "") + " Released under the GNU GPL, version 3 " + prose(90, 7).replace(".", "")]
+    got = licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.family for r in got.collect()} == {0: "GPL-3.0", 1: "CC-BY-NC", 2: "Proprietary", 3: "unknown", 4: "unknown", 6: "GPL-3.0"}
+
+
 # --- 9 ---------------------------------------------------------------------
 
 

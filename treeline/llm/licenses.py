@@ -1,6 +1,7 @@
 """Licence scans (operator 8), with DataFrame functions only.
 
-Paragraphs that name a licensing term become sparse counts of word n-grams. A multinomial logistic
+Paragraphs that name a licensing term, or hold a word pair without which no template could be confirmed,
+become sparse counts of word n-grams. A multinomial logistic
 regression, trained here on variations of notice templates and on a bounded sample of the corpus, gives
 each a licence family or none; its scores are calibrated by one temperature on rows kept from training.
 A family is reported only if its calibrated probability reaches ``least_probability`` and the paragraph
@@ -9,6 +10,9 @@ holds enough of the word pairs of one of the family's templates; otherwise the f
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -69,13 +73,16 @@ TEMPLATES = {
     ],
     "Proprietary": [
         "All rights reserved.",
+        "Alle Rechte vorbehalten.",
+        "Todos los derechos reservados.",
+        "Tous droits réservés.",
         "Copyright. All rights reserved. No part of this publication may be reproduced without permission.",
     ],
 }
 UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *TEMPLATES]
-#: A paragraph without any of these terms is no licence notice.
-TERMS = "(?i)(licen[cs]e|copyright|rights reserved|permission|redistribut|public domain|creative commons)"
+#: A paragraph with any of these terms (English, German, Spanish, French) gets a row, even if no family is confirmed.
+TERMS = "(?iu)(licen[csz]|lizen[sz]|copyright|urheberrecht|rights reserved|rechte vorbehalten|derechos reservados|derechos de autor|droits réservés|droits d.auteur|permission|redistribut|public domain|dominio público|domaine public|gemeinfrei|creative commons)"
 BUCKETS = 1 << 13
 PROSE = [
     "You need a license to drive a car in this country.",
@@ -105,17 +112,32 @@ def with_counts(df: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="features").transform(df.withColumn("grams", grams)).drop("grams")
 
 
-def paragraphs(documents: DataFrame, most_words: int, window_words: int) -> DataFrame:
-    """doc_id, paragraph (its line, from 0), window, words of each part of a text that has a licensing term.
+def anchors(least_overlap: float) -> str:
+    """A pattern that is found in the lower-case text of all that holds ``least_overlap`` of a template's word pairs.
+
+    Who holds so many pairs holds one of any few, and of these the longest are taken.
+    """
+    chosen = set()
+    for text in (t for texts in TEMPLATES.values() for t in texts):
+        words = re.findall(r"[^\W_]+(?:\.[0-9]+)*", text.lower())
+        pairs = sorted(set(zip(words, words[1:], strict=False)), key=lambda p: (-len(p[0] + p[1]), p))
+        chosen |= set(pairs[: len(pairs) - max(1, math.ceil(least_overlap * len(pairs) - 1e-9)) + 1])
+    return "(" + "|".join(rf"{re.escape(a)}[^\p{{L}}\p{{N}}]*{re.escape(b)}" for a, b in sorted(chosen)) + ")"
+
+
+def paragraphs(documents: DataFrame, most_words: int, window_words: int, least_overlap: float) -> DataFrame:
+    """doc_id, paragraph (its line, from 0), window, words, named of each part of a text that has a licensing term
+    (``named``) or may hold enough of a template.
 
     A line of over ``most_words`` words is cut into windows of ``window_words`` that overlap by half.
     """
-    lines = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(TERMS))
+    anchor = anchors(least_overlap)
+    lines = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(TERMS) | F.lower("line").rlike(anchor))
     words = lines.select("doc_id", "paragraph", words_of(F.col("line")).alias("all"))
     step = window_words // 2
     begins = F.when(F.size("all") > most_words, F.sequence(F.lit(0), F.greatest(F.size("all") - step - 1, F.lit(0)), F.lit(step))).otherwise(F.array(F.lit(0)))
     size = F.when(F.size("all") > most_words, F.lit(window_words)).otherwise(F.greatest(F.size("all"), F.lit(1)))
-    return words.select("doc_id", "paragraph", F.posexplode(F.transform(begins, lambda b: F.slice("all", b + 1, size))).alias("window", "words")).filter(F.array_join("words", " ").rlike(TERMS))
+    return words.select("doc_id", "paragraph", F.posexplode(F.transform(begins, lambda b: F.slice("all", b + 1, size))).alias("window", "words")).withColumn("named", F.array_join("words", " ").rlike(TERMS)).filter(F.col("named") | F.array_join("words", " ").rlike(anchor))
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -125,9 +147,10 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(given).alias("x")).select("x.family", words_of(F.col("x.text")).alias("words"))
 
 
-def training_rows(corpus: DataFrame, variations: int, sample_rows: int) -> DataFrame:
+def training_rows(corpus: DataFrame, variations: int, sample_rows: int, least_overlap: float = 0.7) -> DataFrame:
     """label, words, kept (for calibration): variations of each template, prose that uses the terms, and the
-    lines of ``sample_rows`` documents (those of the smallest hashes of their ids) that lack the terms."""
+    lines of ``sample_rows`` documents (those of the smallest hashes of their ids) that lack the
+    terms and what ``anchors`` finds."""
     spark = corpus.sparkSession
     label = lambda family: F.array_position(F.array(*map(F.lit, FAMILIES)), family) - 1
     chance = lambda w, i, k: F.pmod(F.xxhash64(w, i, F.col(k)), F.lit(1000))
@@ -149,15 +172,15 @@ def training_rows(corpus: DataFrame, variations: int, sample_rows: int) -> DataF
     plain = spark.range(1).select(F.explode(prose).alias("t")).crossJoin(spark.range(variations).withColumnRenamed("id", "k")).select("k", F.filter(words_of(F.col("t")), lambda w, i: chance(w, i, "k") >= 100).alias("words"))
     chosen = corpus.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = corpus.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
-    lines = sample.select(F.explode(F.split("text", "\n")).alias("line")).filter(~F.col("line").rlike(TERMS)).select(F.pmod(F.xxhash64("line"), F.lit(1000)).alias("k"), F.slice(words_of(F.substring("line", 1, 600)), 1, 60).alias("words"))
+    lines = sample.select(F.explode(F.split("text", "\n")).alias("line")).filter(~F.col("line").rlike(TERMS) & ~F.lower("line").rlike(anchors(least_overlap))).select(F.pmod(F.xxhash64("line"), F.lit(1000)).alias("k"), F.slice(words_of(F.substring("line", 1, 600)), 1, 60).alias("words"))
     plain = plain.unionAll(plain.select("k", noise("c")))
     bad = mixed_up.select("k", "words").union(plain).union(lines)
     return good.union(bad.select(F.lit(0).cast("long"), "words", F.col("k") % 5 == 4)).filter(F.size("words") > 0)
 
 
-def trained(corpus: DataFrame, variations: int = 40, sample_rows: int = 300) -> tuple[LogisticRegressionModel, float]:
+def trained(corpus: DataFrame, variations: int = 40, sample_rows: int = 300, least_overlap: float = 0.7) -> tuple[LogisticRegressionModel, float]:
     """The model, and the temperature of the least log loss on the rows kept from its training."""
-    rows, _ = written(with_counts(training_rows(corpus, variations, sample_rows)), "licence-training")
+    rows, _ = written(with_counts(training_rows(corpus, variations, sample_rows, least_overlap)), "licence-training")
     model = LogisticRegression(family="multinomial", regParam=0.0005, maxIter=40, labelCol="label").fit(rows.filter("NOT kept").withColumn("label", F.col("label").cast("double")))
     kept = model.transform(rows.filter("kept")).select("label", vector_to_array("rawPrediction").alias("raw"))
     grid = [0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0]
@@ -172,7 +195,8 @@ def _softmax(raw: Column, temperature: float) -> Column:
 
 
 def scanned(documents: DataFrame, least_probability: float = 0.5, least_overlap: float = 0.7, most_words: int = 60, window_words: int = 40) -> DataFrame:
-    """doc_id, paragraph, family, probability, overlap of each paragraph with a licensing term.
+    """doc_id, paragraph, family, probability, overlap of each paragraph with a licensing term, or with
+    ``least_overlap`` of the word pairs of any template.
 
     ``overlap`` is the largest share of a template's word pairs (of the predicted family) that the
     paragraph holds; of a long paragraph's windows, the best confirmed one counts, else the first. Null
@@ -181,14 +205,17 @@ def scanned(documents: DataFrame, least_probability: float = 0.5, least_overlap:
     gives an empty result.
     """
     documents = documents.select("doc_id", "text")
-    model, temperature = trained(documents)
+    model, temperature = trained(documents, least_overlap=least_overlap)
     spark = documents.sparkSession
-    scored = model.transform(with_counts(paragraphs(documents, most_words, window_words))).withColumn("p", _softmax(vector_to_array("rawPrediction"), temperature))
-    scored = scored.select("doc_id", "paragraph", "window", "words", F.array_max("p").alias("probability"), (F.array_position("p", F.array_max("p")).cast("int")).alias("which"))
+    scored = model.transform(with_counts(paragraphs(documents, most_words, window_words, least_overlap))).withColumn("p", _softmax(vector_to_array("rawPrediction"), temperature))
+    scored = scored.select("doc_id", "paragraph", "window", "words", "named", F.array_max("p").alias("probability"), (F.array_position("p", F.array_max("p")).cast("int")).alias("which"))
     scored = scored.withColumn("predicted", F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("which"))).withColumn("pairs", F.array_distinct(grams_of(F.col("words"), 2)))
-    known = templates(spark).select("family", F.array_distinct(grams_of(F.col("words"), 2)).alias("t")).groupBy("family").agg(F.collect_list("t").alias("templates"))
-    scored = scored.join(F.broadcast(known), F.col("predicted") == F.col("family"), "left")  # one row a family
-    overlap = F.coalesce(F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("pairs"))) / F.size(t))), F.lit(0.0))
+    known = templates(spark).select(F.struct("family", F.array_distinct(grams_of(F.col("words"), 2)).alias("t")).alias("t")).agg(F.collect_list("t").alias("templates"))
+    scored = scored.crossJoin(F.broadcast(known))  # one row
+    share = lambda x: F.size(F.array_intersect(x["t"], F.col("pairs"))) / F.size(x["t"])
+    scored = scored.withColumn("shares", F.transform("templates", lambda x: F.struct(x["family"].alias("family"), share(x).alias("share"))))
+    overlap = F.coalesce(F.array_max(F.transform(F.filter("shares", lambda x: x["family"] == F.col("predicted")), lambda x: x["share"])), F.lit(0.0))
+    scored = scored.filter(F.col("named") | (F.array_max(F.transform("shares", lambda x: x["share"])) >= least_overlap))
     judged = scored.withColumn("overlap", overlap).withColumn("ok", (F.col("probability") >= least_probability) & (F.col("overlap") >= least_overlap) & (F.col("predicted") != UNKNOWN))
     best = judged.groupBy("doc_id", "paragraph").agg(F.max_by(F.struct("predicted", "probability", "overlap", "ok"), F.struct("ok", F.when(F.col("ok"), F.col("overlap")).otherwise(0.0), -F.col("window"))).alias("b"))
     return best.select("doc_id", "paragraph", F.when(F.col("b.ok"), F.col("b.predicted")).otherwise(UNKNOWN).alias("family"), F.round("b.probability", 6).alias("probability"), F.round("b.overlap", 6).alias("overlap"))
