@@ -364,6 +364,13 @@ def test_license_scan_without_english_terms(spark):
     assert {r.doc_id: r.family for r in got.collect()} == {0: "GPL-3.0", 1: "CC-BY-NC", 2: "Proprietary", 3: "unknown", 4: "unknown", 6: "GPL-3.0"}
 
 
+def test_license_scan_keeps_rows_apart(spark):
+    """Rows without a doc_id, or with the same one, have notices of their own."""
+    mit, cc = "Released under the MIT License.", "Licensed under CC BY 4.0."
+    got = licenses.scanned(spark.createDataFrame([(None, mit), (None, cc), (1, mit), (1, cc)], "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.family) for r in got.collect()) == [(0, "CC-BY"), (0, "MIT"), (1, "CC-BY"), (1, "MIT")]
+
+
 # --- 9 ---------------------------------------------------------------------
 
 

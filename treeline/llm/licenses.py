@@ -126,18 +126,18 @@ def anchors(least_overlap: float) -> str:
 
 
 def paragraphs(documents: DataFrame, most_words: int, window_words: int, least_overlap: float) -> DataFrame:
-    """doc_id, paragraph (its line, from 0), window, words, named of each part of a text that has a licensing term
+    """row (a key of the input row), doc_id, paragraph (its line, from 0), window, words, named of each part of a text that has a licensing term
     (``named``) or may hold enough of a template.
 
     A line of over ``most_words`` words is cut into windows of ``window_words`` that overlap by half.
     """
     anchor = anchors(least_overlap)
-    lines = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(TERMS) | F.lower("line").rlike(anchor))
-    words = lines.select("doc_id", "paragraph", words_of(F.col("line")).alias("all"))
+    lines = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(TERMS) | F.lower("line").rlike(anchor))
+    words = lines.select("row", "doc_id", "paragraph", words_of(F.col("line")).alias("all"))
     step = window_words // 2
     begins = F.when(F.size("all") > most_words, F.sequence(F.lit(0), F.greatest(F.size("all") - step - 1, F.lit(0)), F.lit(step))).otherwise(F.array(F.lit(0)))
     size = F.when(F.size("all") > most_words, F.lit(window_words)).otherwise(F.greatest(F.size("all"), F.lit(1)))
-    return words.select("doc_id", "paragraph", F.posexplode(F.transform(begins, lambda b: F.slice("all", b + 1, size))).alias("window", "words")).withColumn("named", F.array_join("words", " ").rlike(TERMS)).filter(F.col("named") | F.array_join("words", " ").rlike(anchor))
+    return words.select("row", "doc_id", "paragraph", F.posexplode(F.transform(begins, lambda b: F.slice("all", b + 1, size))).alias("window", "words")).withColumn("named", F.array_join("words", " ").rlike(TERMS)).filter(F.col("named") | F.array_join("words", " ").rlike(anchor))
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -200,15 +200,15 @@ def scanned(documents: DataFrame, least_probability: float = 0.5, least_overlap:
 
     ``overlap`` is the largest share of a template's word pairs (of the predicted family) that the
     paragraph holds; of a long paragraph's windows, the best confirmed one counts, else the first. Null
-    and empty texts have no paragraph. Rows with a null doc_id are scanned like others; repeated rows
-    give one row a paragraph, as far as their texts agree. Only doc_id and text are read. An empty table
+    and empty texts have no paragraph. Each row is scanned by itself, also with
+    a null or repeated doc_id; repeated rows are repeated in the result. Only doc_id and text are read. An empty table
     gives an empty result.
     """
     documents = documents.select("doc_id", "text")
     model, temperature = trained(documents, least_overlap=least_overlap)
     spark = documents.sparkSession
     scored = model.transform(with_counts(paragraphs(documents, most_words, window_words, least_overlap))).withColumn("p", _softmax(vector_to_array("rawPrediction"), temperature))
-    scored = scored.select("doc_id", "paragraph", "window", "words", "named", F.array_max("p").alias("probability"), (F.array_position("p", F.array_max("p")).cast("int")).alias("which"))
+    scored = scored.select("row", "doc_id", "paragraph", "window", "words", "named", F.array_max("p").alias("probability"), (F.array_position("p", F.array_max("p")).cast("int")).alias("which"))
     scored = scored.withColumn("predicted", F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("which"))).withColumn("pairs", F.array_distinct(grams_of(F.col("words"), 2)))
     known = templates(spark).select(F.struct("family", F.array_distinct(grams_of(F.col("words"), 2)).alias("t")).alias("t")).agg(F.collect_list("t").alias("templates"))
     scored = scored.crossJoin(F.broadcast(known))  # one row
@@ -217,7 +217,7 @@ def scanned(documents: DataFrame, least_probability: float = 0.5, least_overlap:
     overlap = F.coalesce(F.array_max(F.transform(F.filter("shares", lambda x: x["family"] == F.col("predicted")), lambda x: x["share"])), F.lit(0.0))
     scored = scored.filter(F.col("named") | (F.array_max(F.transform("shares", lambda x: x["share"])) >= least_overlap))
     judged = scored.withColumn("overlap", overlap).withColumn("ok", (F.col("probability") >= least_probability) & (F.col("overlap") >= least_overlap) & (F.col("predicted") != UNKNOWN))
-    best = judged.groupBy("doc_id", "paragraph").agg(F.max_by(F.struct("predicted", "probability", "overlap", "ok"), F.struct("ok", F.when(F.col("ok"), F.col("overlap")).otherwise(0.0), -F.col("window"))).alias("b"))
+    best = judged.groupBy("row", "doc_id", "paragraph").agg(F.max_by(F.struct("predicted", "probability", "overlap", "ok"), F.struct("ok", F.when(F.col("ok"), F.col("overlap")).otherwise(0.0), -F.col("window"))).alias("b"))
     return best.select("doc_id", "paragraph", F.when(F.col("b.ok"), F.col("b.predicted")).otherwise(UNKNOWN).alias("family"), F.round("b.probability", 6).alias("probability"), F.round("b.overlap", 6).alias("overlap"))
 
 
