@@ -299,28 +299,38 @@ def test_representatives_go_by_similarity(spark, docs):
 # --- 7 ---------------------------------------------------------------------
 
 
-def spans_by_brute_force(data, sentences=2, words=12):
+def cut_by_hand(t):
+    """Pieces of a text by a scan of its characters."""
+    out, now = [], ""
+    for k, c in enumerate(t):
+        now += c
+        ends = re.search(r"[.!?,;:][\"')\]]*$", now) and (k + 1 == len(t) or t[k + 1].isspace())
+        short = re.search(r"(?:^|[\s.(])(?:[A-Za-z]|Mr|Mrs|Ms|Dr|Prof|St|vs|Nr|bzw|Sr|Sra|Mme)\.$", now)
+        if c in "\n\u3002\uff01\uff1f" or (ends and not short):
+            out.append(now)
+            now = ""
+    return [*out, now] if now else out
+
+
+def spans_by_brute_force(data, least=1, words=20):
+    """Every run of enough pieces and words is hashed, not the shortest ones alone."""
     occurrences, cut = {}, []
     for place, (d, t) in enumerate(data):
-        pieces = [p for p in re.split(r"(?<=[.!?\n])(?![.!?\n])|(?= [A-Z\u00c0-\u00de])", t or "") if p]
+        pieces = cut_by_hand(t or "")
         own = [(k, p.split()) for k, p in enumerate(pieces) if re.search(r"[^ \t\n\r\v\f]", p)]
         cut.append((pieces, own))
-        found = set()
+        sums = np.cumsum([0, *(len(w) for _, w in own)])
         for i in range(len(own)):
-            for e in range(i + sentences - 1, len(own)):
-                count = sum(len(w) for _, w in own[i : e + 1])
-                shorter = e - i + 1 == sentences
-                if count >= words and (shorter or count - len(own[e][1]) < words or count - len(own[i][1]) < words):
-                    found.add((i, e))
-        for i, e in sorted(found):
-            key = tuple(tuple(w) for _, w in own[i : e + 1])
-            occurrences.setdefault(key, []).append((d, place, i, e))
+            for e in range(i + least - 1, min(len(own), i + 40)):
+                if sums[e + 1] - sums[i] >= words:
+                    key = tuple(tuple(w) for _, w in own[i : e + 1])
+                    occurrences.setdefault(hash(key), []).append((d, place, i, e))
     gone = [set() for _ in data]
     for places in occurrences.values():
-        least = min(p[0] for p in places)
+        first = min(p[0] for p in places)
         for d, place, i, e in places:
             first_here = min(p[2] for p in places if p[1] == place)
-            if d > least or i > first_here:
+            if d > first or i > first_here:
                 gone[place] |= {k for k, _ in cut[place][1][i : e + 1]}
     return [("".join(p for k, p in enumerate(pieces) if k not in gone[n]), len(own), len(gone[n])) for n, (pieces, own) in enumerate(cut)]
 
@@ -336,6 +346,20 @@ def test_sentence_spans_equal_brute_force(docs, none):
     assert spans.deduplicated(none).collect() == []
 
 
+def test_sentence_spans_of_hot_spans(spark, monkeypatch):
+    """Spans in most documents go by broadcast, the others by a shuffle: to the same result."""
+    monkeypatch.setattr(spans, "HOT_SHARE", 8)
+    data = [(k, prose(30, k) + " " + PASSAGE + " " + prose(30, k // 2 + 900)) for k in range(24)]
+    got = spans.deduplicated(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r.text, r.n_sentences, r.n_removed) for r in got) == sorted(spans_by_brute_force(data))
+
+
+def test_pieces():
+    for t in ("New York City Mayor John Smith met Dr. Who. Then, at 3.5 km; \u201cno\u201d!\nz. B. x?) End", "a.b c.", "\u3053\u3002\u3053\uff01", "", "\n\n", "J. Smith (St. Paul) said: no"):
+        assert [p.decode() for p in spans.pieces_of(t.encode())] == cut_by_hand(t)
+    assert spans.pieces_of(b"New York City Mayor John Smith met Dr. Who. Then, at 3.5 km") == [b"New York City Mayor John Smith met Dr. Who.", b" Then,", b" at 3.5 km"]
+
+
 # --- 8 ---------------------------------------------------------------------
 
 

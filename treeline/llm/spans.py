@@ -1,9 +1,17 @@
 """Substring dedup by sliding sentence spans (operator 7).
 
-Texts are cut into sentences. From each sentence the shortest run of at least ``sentences`` sentences and
-``words`` words forward, and backward, is hashed (128 bits). Hashes are joined globally, and sentences
+Texts are cut into pieces: sentences, which end at marks and line breaks, and within them clauses, which end
+at commas, semicolons and colons. From each piece the shortest run of at least ``least`` pieces and ``words``
+words forward, and backward, is hashed (128 bits). Hashes are joined globally, and pieces
 covered by any occurrence of a repeated span but the first are removed. The first occurrence of a span is
 the one in the smallest doc_id, and within a document the earliest.
+
+To hash these shortest runs is to hash every run of at least so many pieces and words: each piece of a
+longer run that repeats lies in one of its shortest runs, forward from the run's first pieces or backward from its last.
+
+Hashes are made once and written. Spans that repeat are few against all spans, so they, and not the texts,
+are what is sent round; a span that fills more than a ten-thousandth of all places (there are at most ten thousand
+of those) is joined by broadcast, so that no task gets all of its places.
 """
 
 from __future__ import annotations
@@ -18,17 +26,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeline.llm.common import table
+from treeline.llm.common import removed, table, written
 
-#: Up to the marks or line breaks that end a sentence, or up to a space before a capital (A-Z, U+00C0 to U+00DE).
-_PIECE = re.compile(rb" ?[^.!?\n ]*(?: (?![A-Z]|\xc3[\x80-\x9e])[^.!?\n ]*)*[.!?\n]*")
-SENTENCES, WORDS = 2, 12
+#: What a full stop after them doesn't end. Single letters are taken for abbreviations, too.
+ABBREVIATIONS = (b"Mr", b"Mrs", b"Ms", b"Dr", b"Prof", b"St", b"vs", b"Nr", b"bzw", b"Sr", b"Sra", b"Mme")
+#: Marks before white space or the end, marks of scripts without spaces (U+3002, U+FF01, U+FF1F), and line breaks.
+_BORDER = re.compile(rb"[.!?,;:][\"')\]]*(?=\s|\Z)|\xe3\x80\x82|\xef\xbc[\x81\x9f]|\n")
+_ABBREVIATED = re.compile(rb"(?:\A|[\s.(])(?:[A-Za-z]|" + b"|".join(ABBREVIATIONS) + rb")\.\Z")
+LEAST, WORDS = 1, 20
 LAST = (1 << 63) - 1
-
-
-def spans_of(text: bytes, sentences: int, words: int) -> tuple[list[bytes], list[int], dict[bytes, list[tuple[int, int]]]]:
-    """The pieces of a text; which of them are sentences; and each span's hash with its (first, last) sentences."""
-    pieces = _PIECE.findall(text)[:-1]  # the last match is empty
+#: The share of all places of spans that makes a span hot: a bound on the number of hot spans.
+HOT_SHARE = 10_000
+
+
+def pieces_of(text: bytes) -> list[bytes]:
+    """The pieces of a text; put together they are the text."""
+    out, at = [], 0
+    for m in _BORDER.finditer(text):
+        end = m.end()
+        if text[end - 1] == 46 and _ABBREVIATED.search(text[max(at, end - 8) : end]):
+            continue
+        out.append(text[at:end])
+        at = end
+    if at < len(text):
+        out.append(text[at:])
+    return out
+
+
+def spans_of(pieces: list[bytes], least: int, words: int) -> tuple[list[int], dict[bytes, list[tuple[int, int]]]]:
+    """Which of the pieces have words; and each span's hash with its (first, last) of those."""
     plain, where, sizes = [], [], [0]
     for k, piece in enumerate(pieces):
         own = piece.split()
@@ -37,67 +63,81 @@ def spans_of(text: bytes, sentences: int, words: int) -> tuple[list[bytes], list
             where.append(k)
             sizes.append(sizes[-1] + len(own))
     n = len(plain)
-    if n < sentences:
-        return pieces, where, {}
+    if n < least or sizes[-1] < words:
+        return where, {}
     total = np.array(sizes)
     begin = np.arange(n)
-    forward = np.maximum(np.searchsorted(total, total[:-1] + words) - 1, begin + sentences - 1)
-    backward = np.minimum(np.searchsorted(total, total[1:] - words, side="right") - 1, begin - sentences + 1)
+    forward = np.maximum(np.searchsorted(total, total[:-1] + words) - 1, begin + least - 1)
+    backward = np.minimum(np.searchsorted(total, total[1:] - words, side="right") - 1, begin - least + 1)
     runs = {(i, e) for i, e in zip(begin.tolist(), forward.tolist(), strict=True) if e < n}
     runs |= {(b, e) for b, e in zip(backward.tolist(), begin.tolist(), strict=True) if b >= 0}
     digest = xxhash.xxh3_128_digest
     found: dict[bytes, list[tuple[int, int]]] = {}
     for i, e in sorted(runs):
         found.setdefault(digest(b"\n".join(plain[i : e + 1])), []).append((i, e))
-    return pieces, where, found
+    return where, found
 
 
-def _hashes(documents: DataFrame, sentences: int, words: int) -> DataFrame:
-    """One row for each distinct span of each document."""
+def _hashes(documents: DataFrame, least: int, words: int) -> DataFrame:
+    """doc, h1, h2 of each document: the two halves of the hashes of its distinct spans."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                keys, parts = [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    found = spans_of((text.as_py() or "").encode(), sentences, words)[2]
-                    parts.append(b"".join(found))
-                    keys += [doc] * len(found)
-                both = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(keys, pa.int64())], ["h1", "h2", "doc"])
-
-    return documents.mapInArrow(scan, "h1 long, h2 long, doc long")
-
-
-def deduplicated(documents: DataFrame, sentences: int = SENTENCES, words: int = WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+                halves = [np.frombuffer(b"".join(spans_of(pieces_of((t.as_py() or "").encode()), least, words)[1]), np.int64).reshape(-1, 2) for t in part.column(1)]
+                ends = pa.array(np.cumsum([0, *map(len, halves)]), pa.int32())
+                both = np.concatenate(halves) if halves else np.empty((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(both[:, k]))) for k in (0, 1))], ["doc", "h1", "h2"])
+
+    return documents.mapInArrow(scan, "doc long, h1 array<long>, h2 array<long>")
+
+
+def _later(hashes: DataFrame) -> tuple[DataFrame, str]:
+    """doc, later (first halves of hashes) of the documents with spans that a smaller document has, too; and the folder used."""
+    spark = hashes.sparkSession
+    places = hashes.select("doc", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("doc", "h.h1", "h.h2")
+    again, path = written(places.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("h1", "h2", "lo", "n"), "spans-again")
+    most = (hashes.agg(F.sum(F.size("h1"))).first()[0] or 0) // HOT_SHARE
+    hot, cold = again.filter(F.col("n") > most), again.filter(F.col("n") <= most)  # at most HOT_SHARE are hot
+    keys = ["h1", "h2"]
+    named = places.join(F.broadcast(hot.select(*keys, "lo")), keys, "left")
+    by_hot = named.filter("doc > lo").select("doc", "h1")
+    by_cold = named.filter("lo IS NULL").drop("lo").join(cold.select(*keys, "lo"), keys).filter("doc > lo").select("doc", "h1")
+    later, later_path = written(by_hot.unionAll(by_cold).groupBy("doc").agg(F.collect_set("h1").alias("later")), "spans-later")
+    removed(spark, path)
+    return later, later_path
+
+
+def deduplicated(documents: DataFrame, least: int = LEAST, words: int = WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, the columns ``carry``, n_sentences, n_removed of every row: its text without repeated spans.
 
-    Sentences end at ``.``, ``!``, ``?``, a newline, or before a word with a capital, so that a passage set into the
-    middle of another sentence begins one of its own; they are compared by their words, white space aside.
+    Pieces (counted as sentences) end at ``.``, ``!``, ``?``, ``,``, ``;``, ``:`` before white space, at marks of scripts
+    without spaces, and at line breaks; not after abbreviations. They are compared by their words, white space aside.
     Pieces without words are no sentences and stay. Null texts are empty. Rows with a null doc_id come
     after all others and don't displace each other, nor do rows with the same doc_id. Texts of fewer than
-    ``sentences`` sentences or ``words`` words have no span and stay whole. Repeated rows are repeated in
+    ``least`` pieces or ``words`` words have no span and stay whole; very long texts are held whole by one task. Repeated rows are repeated in
     the result. Only doc_id, text and ``carry`` are read. An empty table gives an empty result.
     """
-    doc_id = F.col("doc_id").cast("long")
+    spark, doc_id = documents.sparkSession, F.col("doc_id").cast("long")
     docs = documents.select(F.coalesce(doc_id, F.lit(LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(doc_id.alias("doc_id"), *carry).alias("other"))
-    hashes = _hashes(docs.select("doc", "text"), sentences, words)
-    again = hashes.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
-    later = hashes.join(again, ["h1", "h2"]).filter("doc > lo").groupBy("doc").agg(F.collect_set("h1").alias("later"))
+    hashes, path = written(_hashes(docs.select("doc", "text"), least, words), "spans")
+    later, _ = _later(hashes)
+    removed(spark, path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, later in zip(batch.column(0), batch.column(1), strict=True):
                 raw = text.as_py().encode()
-                pieces, where, found = spans_of(raw, sentences, words)
+                pieces = pieces_of(raw)
+                where, found = spans_of(pieces, least, words)
                 gone = set(later.values.to_numpy().tolist()) if later.is_valid else set()
-                removed = np.zeros(len(where) + 1, bool)
+                lost = np.zeros(len(where) + 1, bool)
                 for h, places in found.items():
                     for i, e in places if int.from_bytes(h[:8], "little", signed=True) in gone else places[1:]:
-                        removed[i : e + 1] = True
-                drop = {where[k] for k in np.flatnonzero(removed)}
+                        lost[i : e + 1] = True
+                drop = {where[k] for k in np.flatnonzero(lost)}
                 kept = b"".join(p for k, p in enumerate(pieces) if k not in drop) if drop else raw
                 out.append((kept.decode(), len(where), len(drop)))
             columns = list(zip(*out, strict=True)) or [[]] * 3
