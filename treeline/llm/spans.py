@@ -9,9 +9,10 @@ the one in the smallest doc_id, and within a document the earliest.
 To hash these shortest runs is to hash every run of at least so many pieces and words: each piece of a
 longer run that repeats lies in one of its shortest runs, forward from the run's first pieces or backward from its last.
 
-Hashes are made once and written. Spans that repeat are few against all spans, so they, and not the texts,
-are what is sent round; a span that fills more than a ten-thousandth of all places (there are at most ten thousand
-of those) is joined by broadcast, so that no task gets all of its places.
+Hashes are made once, written, and dealt once: sorted, the first place of a hash is the one of the smallest document, so a
+pass that holds one hash at a time finds all later ones. Hashes that fill more than a ten-thousandth of a sample of
+documents (there are at most ten thousand of those) don't go that way: their smallest document comes from partial
+aggregates and is joined by broadcast, so that no task gets all places of a hot hash. Which way a hash goes has no effect on the result.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ _BORDER = re.compile(rb"[.!?,;:][\"')\]]*(?=\s|\Z)|\xe3\x80\x82|\xef\xbc[\x81\x9
 _ABBREVIATED = re.compile(rb"(?:\A|[\s.(])(?:[A-Za-z]|" + b"|".join(ABBREVIATIONS) + rb")\.\Z")
 LEAST, WORDS = 1, 20
 LAST = (1 << 63) - 1
-#: The share of all places of spans that makes a span hot: a bound on the number of hot spans.
-HOT_SHARE = 10_000
+#: Spans with more than one in HOT_SHARE of the places in one of SAMPLE documents are hot: a bound on their number.
+HOT_SHARE, SAMPLE = 10_000, 64
 
 
 def pieces_of(text: bytes) -> list[bytes]:
@@ -79,34 +80,55 @@ def spans_of(pieces: list[bytes], least: int, words: int) -> tuple[list[int], di
 
 
 def _hashes(documents: DataFrame, least: int, words: int) -> DataFrame:
-    """doc, h1, h2 of each document: the two halves of the hashes of its distinct spans."""
+    """doc, h1, h2 (96 bits of the hashes of the distinct spans), twice (whether a span has several places) of each document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                halves = [np.frombuffer(b"".join(spans_of(pieces_of((t.as_py() or "").encode()), least, words)[1]), np.int64).reshape(-1, 2) for t in part.column(1)]
+                found = [spans_of(pieces_of((t.as_py() or "").encode()), least, words)[1] for t in part.column(1)]
+                halves = [np.frombuffer(b"".join(f), np.int64).reshape(-1, 2) for f in found]
                 ends = pa.array(np.cumsum([0, *map(len, halves)]), pa.int32())
                 both = np.concatenate(halves) if halves else np.empty((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(both[:, k]))) for k in (0, 1))], ["doc", "h1", "h2"])
+                columns = [pa.array(np.ascontiguousarray(both[:, 0])), pa.array(both[:, 1].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.ListArray.from_arrays(ends, c) for c in columns), pa.array([any(len(x) > 1 for x in f.values()) for f in found], pa.bool_())], ["doc", "h1", "h2", "twice"])
 
-    return documents.mapInArrow(scan, "doc long, h1 array<long>, h2 array<long>")
+    return documents.mapInArrow(scan, "doc long, h1 array<long>, h2 array<int>, twice boolean")
 
 
-def _later(hashes: DataFrame) -> tuple[DataFrame, str]:
-    """doc, later (first halves of hashes) of the documents with spans that a smaller document has, too; and the folder used."""
-    spark = hashes.sparkSession
-    places = hashes.select("doc", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("doc", "h.h1", "h.h2")
-    again, path = written(places.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("h1", "h2", "lo", "n"), "spans-again")
-    most = (hashes.agg(F.sum(F.size("h1"))).first()[0] or 0) // HOT_SHARE
-    hot, cold = again.filter(F.col("n") > most), again.filter(F.col("n") <= most)  # at most HOT_SHARE are hot
+def _after_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, h1 of the rows (sorted by h1, h2, doc) of which the first of the same hash has a smaller doc."""
+    last = None
+    for batch in batches:
+        h1, h2, doc = (batch.column(k).to_numpy() for k in range(3))
+        if not len(h1):
+            continue
+        new = np.concatenate([[last is None or (h1[0], h2[0]) != last[:2]], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+        firsts = np.flatnonzero(new)
+        least = np.empty(len(h1), np.int64)
+        if not new[0]:
+            least[: firsts[0] if len(firsts) else len(h1)] = last[2]
+        if len(firsts):
+            least[firsts[0] :] = np.repeat(doc[firsts], np.diff(np.append(firsts, len(h1))))
+        last = (h1[-1], h2[-1], least[-1])
+        later = doc > least
+        yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(h1[later])], ["doc", "h1"])
+
+
+def _later(hashes: DataFrame) -> DataFrame:
+    """doc, later (h1 of spans that a smaller document has, too) of the documents that lose something."""
     keys = ["h1", "h2"]
-    named = places.join(F.broadcast(hot.select(*keys, "lo")), keys, "left")
-    by_hot = named.filter("doc > lo").select("doc", "h1")
-    by_cold = named.filter("lo IS NULL").drop("lo").join(cold.select(*keys, "lo"), keys).filter("doc > lo").select("doc", "h1")
-    later, later_path = written(by_hot.unionAll(by_cold).groupBy("doc").agg(F.collect_set("h1").alias("later")), "spans-later")
-    removed(spark, path)
-    return later, later_path
+    places = hashes.select("doc", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("h.h1", "h.h2", "doc")
+    sample = places.filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0)
+    most = (hashes.agg(F.sum(F.size("h1").cast("long"))).first()[0] or 0) // (SAMPLE * HOT_SHARE)
+    hot = sample.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > max(1, most)).orderBy(F.desc("n")).limit(HOT_SHARE).select(*keys)
+    hot, _ = written(hot, "spans-hot")  # at most HOT_SHARE
+    firsts = places.join(F.broadcast(hot), keys).groupBy(*keys).agg(F.min("doc").alias("lo"))
+    of_hot = places.join(F.broadcast(firsts), keys).filter("doc > lo").select("doc", "h1")
+    rest = places.join(F.broadcast(hot), keys, "left_anti").repartition(*keys).sortWithinPartitions(*keys, "doc")
+    found = rest.mapInArrow(_after_first, "doc long, h1 long").unionAll(of_hot)
+    inside = hashes.filter("twice").select("doc", F.lit(None).cast("long").alias("h1"))
+    return found.unionAll(inside).groupBy("doc").agg(F.collect_set("h1").alias("later"))
 
 
 def deduplicated(documents: DataFrame, least: int = LEAST, words: int = WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -122,7 +144,7 @@ def deduplicated(documents: DataFrame, least: int = LEAST, words: int = WORDS, c
     spark, doc_id = documents.sparkSession, F.col("doc_id").cast("long")
     docs = documents.select(F.coalesce(doc_id, F.lit(LAST)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(doc_id.alias("doc_id"), *carry).alias("other"))
     hashes, path = written(_hashes(docs.select("doc", "text"), least, words), "spans")
-    later, _ = _later(hashes)
+    later, _ = written(_later(hashes), "spans-later")
     removed(spark, path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +153,11 @@ def deduplicated(documents: DataFrame, least: int = LEAST, words: int = WORDS, c
             for text, later in zip(batch.column(0), batch.column(1), strict=True):
                 raw = text.as_py().encode()
                 pieces = pieces_of(raw)
+                if not later.is_valid:
+                    out.append((raw.decode(), sum(1 for p in pieces if p.strip()), 0))
+                    continue
                 where, found = spans_of(pieces, least, words)
-                gone = set(later.values.to_numpy().tolist()) if later.is_valid else set()
+                gone = set(later.values.to_numpy().tolist())
                 lost = np.zeros(len(where) + 1, bool)
                 for h, places in found.items():
                     for i, e in places if int.from_bytes(h[:8], "little", signed=True) in gone else places[1:]:
