@@ -8,7 +8,9 @@ broadcast and nothing reaches the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ PACKED = "dim int, ids binary, cells binary"
 _LIMIT = 2.0**53
 
 
-def packed(vectors: DataFrame, scale: float, rows: int) -> DataFrame:
-    """Blocks of at most ``rows`` vectors of one dimension, each component floor(scale * x)."""
+def packed(vectors: DataFrame, rows: int) -> DataFrame:
+    """Blocks of at most ``rows`` vectors of one dimension, as doubles."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -37,19 +39,27 @@ def packed(vectors: DataFrame, scale: float, rows: int) -> DataFrame:
                 for k in range(0, len(which), rows):
                     part = which[k : k + rows]
                     cells = flat[begins[part][:, None] + np.arange(dim)] if dim else np.empty((len(part), 0))
-                    cells = np.floor(scale * cells.astype(np.float64))
+                    cells = cells.astype(np.float64)
                     yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": [ids[part].astype(np.int64).tobytes()], "cells": [cells.tobytes()]})
 
     return vectors.mapInArrow(pack, PACKED)
 
 
+def whole(cells: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) of doubles; in Python's integers where that isn't a double."""
+    with np.errstate(over="ignore"):
+        found = np.floor(scale * cells)
+    if np.isfinite(found).all():
+        return found
+    return np.array([[math.floor(Fraction(x) * scale) for x in row] for row in cells.tolist()], dtype=object)
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products; beyond 2**53 in Python's integers, held within a long."""
-    most = (np.abs(a).max(initial=0) * np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < _LIMIT:
+    if object not in (a.dtype, b.dtype) and np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1]) < _LIMIT:
         return a @ b.T
     low, high = -(1 << 63), (1 << 63) - 1
-    x, y = ([[int(v) for v in row] for row in m] for m in (a, b))
+    x, y = ([[int(v) for v in row] for row in m.tolist()] for m in (a, b))
     return np.array([[min(high, max(low, sum(p * q for p, q in zip(r, s, strict=True)))) for s in y] for r in x], dtype=object)
 
 
@@ -71,11 +81,11 @@ def best(scores: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarr
         scores[every, column] = -np.inf
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, tile_rows: int = 4096, query_rows: int = 512, slots: int | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, tile_rows: int = 4096, query_rows: int = 512, slots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k best of all ``vectors`` for each row of ``queries``.
 
     Both have columns vec_id and embedding. The score is the integer inner product of
-    floor(scale * component); ties go to the smaller vec_id. Rows with the query's own vec_id are no
+    floor(scale * component), exact for all finite components and held within a long; ties go to the smaller vec_id. Rows with the query's own vec_id are no
     candidates of it. Vectors that are null or hold nulls or non-finite components, and rows without a
     vec_id, take no part; vectors are compared with those of their own dimension. Repeated candidate
     rows count each; of repeated query rows (same vec_id) the smallest vector is used. Empty tables
@@ -85,8 +95,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     slots = slots or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     sound = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL OR isnan(x) OR abs(x) = double('infinity'))")
     asked = sound(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = packed(asked, scale, query_rows).select("dim", F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"))
-    shards = packed(sound(vectors), scale, tile_rows).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
+    blocks = packed(asked, query_rows).select("dim", F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"))
+    shards = packed(sound(vectors), tile_rows).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
     dealt = blocks.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +104,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
             for row in range(batch.num_rows):
                 dim, slot, q_ids, q_cells, ids, cells = (batch.column(i)[row].as_py() for i in range(6))
                 q, c = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                scores = products(np.frombuffer(q_cells).reshape(len(q), dim), np.frombuffer(cells).reshape(len(c), dim))
+                scores = products(whole(np.frombuffer(q_cells).reshape(len(q), dim), scale), whole(np.frombuffer(cells).reshape(len(c), dim), scale))
                 found = list(best(scores, q[:, None] == c[None, :], k))
                 rows, columns = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
                 yield pa.RecordBatch.from_pydict({"query_id": q[rows], "vec_id": c[columns], "score": scores[rows, columns].astype(np.int64), "part": np.full(len(rows), slot % 16, np.int32)})
