@@ -101,11 +101,11 @@ def test_each_string_has_its_trigger():
     assert first[0] == 0 and last[-1] == len(raw) - 50 and (first[1:] == last[:-1] + 1).all()
 
 
-def test_corpus_order_survives_equal_hashes(monkeypatch):
-    monkeypatch.setattr(suffix, "hashed", lambda sums, b, e: np.zeros(len(b), np.uint64))
-    content = np.frombuffer(b"abcabcabxabc", np.uint8)
+def test_corpus_order_is_that_of_bytes():
+    content = np.frombuffer(b"abcabcabxabc\x00\x00b\x00\xff\xc3\x00\x00", np.uint8)
     begin = np.arange(len(content) - 2)
     order, new = suffix.corpus_order(content, begin, 3)
+    assert order.tolist() == sorted(begin.tolist(), key=lambda b: (content[b : b + 3].tobytes(), b))
     assert new.sum() == len({content[b : b + 3].tobytes() for b in begin})
 
 
@@ -127,6 +127,13 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), df.filter("vec_id = 0")).collect() == []
 
 
+def test_top_k_of_huge_components(spark):
+    """Finite components whose multiple overflows a double take part; scores stay within a long."""
+    df = spark.createDataFrame([(0, [1e306, 1.0]), (1, [1e306, 0.0]), (2, [-1e306, 0.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.filter("vec_id = 0")).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, (1 << 63) - 1), (3, 256 * 512), (2, -(1 << 63))]
+
+
 def test_products_beyond_doubles():
     a = np.array([[2.0**40, 3.0]])
     assert topk.products(a, a)[0, 0] == (1 << 63) - 1
@@ -349,6 +356,7 @@ def test_sentence_spans_equal_brute_force(docs, none):
 def test_sentence_spans_of_hot_spans(spark, monkeypatch):
     """Spans in most documents go by broadcast, the others by a shuffle: to the same result."""
     monkeypatch.setattr(spans, "HOT_SHARE", 8)
+    monkeypatch.setattr(spans, "SAMPLE", 2)
     data = [(k, prose(30, k) + " " + PASSAGE + " " + prose(30, k // 2 + 900)) for k in range(24)]
     got = spans.deduplicated(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert sorted((r.text, r.n_sentences, r.n_removed) for r in got) == sorted(spans_by_brute_force(data))
