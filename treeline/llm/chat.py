@@ -62,6 +62,18 @@ MAPPINGS = {
 BY_FINGERPRINT = {fingerprint(m["fields"]): name for name, m in MAPPINGS.items()}
 
 
+def layout_of(paths) -> str | None:
+    """The mapping that the fingerprint of all field paths selects. Where none is known, the layout has other fields besides: then the
+    mapping of the most fields, if all of them are there and no other has as many."""
+    paths = set(paths)
+    known = BY_FINGERPRINT.get(fingerprint(paths))
+    if known:
+        return known
+    sizes = {name: len(m["fields"]) for name, m in MAPPINGS.items() if paths.issuperset(m["fields"])}
+    most = [name for name, n in sizes.items() if n == max(sizes.values())]
+    return most[0] if len(most) == 1 else None
+
+
 def turns_of(record: dict, mapping: dict) -> list[tuple[str, str]]:
     """Canonical turns of one record; a null or missing text is empty, blank joined parts are left out."""
     said = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
@@ -78,10 +90,10 @@ TURNS = "conv_id long, turn long, role string, text string"
 def turns_from_rows(df: DataFrame) -> DataFrame:
     """Canonical turns of a table of one row a turn, whose schema's fingerprint selects the mapping.
 
-    The columns that the mapping names are used; others are ignored. An unknown schema is an error.
+    The columns that the mapping names are used; others are ignored. An unknown schema is an error. The whole schema is
+    fingerprinted; with other columns besides, ``layout_of`` says which mapping holds.
     """
-    wanted = [c for c in schema_paths(df.schema) if c in MAPPINGS["rows"]["fields"]]
-    name = BY_FINGERPRINT.get(fingerprint(wanted))
+    name = layout_of(schema_paths(df.schema))
     if name is None or "rows" not in MAPPINGS[name]:
         raise ValueError(f"no mapping for the layout {schema_paths(df.schema)}")
     conv, turn, role, text = (F.col(f"`{c}`") for c in MAPPINGS[name]["rows"])
@@ -91,7 +103,7 @@ def turns_from_rows(df: DataFrame) -> DataFrame:
 def turns_from_json(df: DataFrame, id_col: str = "record_id", json_col: str = "record") -> DataFrame:
     """Canonical turns of JSON records of any known layout: conv_id, turn, role, text, layout.
 
-    A record whose fingerprint is unknown, or that is null or no JSON object, gives one row with
+    Fields that the layout doesn't name are ignored. A record whose layout is unknown, or that is null or no JSON object, gives one row with
     turn, role and text null and the layout ``unknown:<fingerprint>``.
     """
 
@@ -103,8 +115,8 @@ def turns_from_json(df: DataFrame, id_col: str = "record_id", json_col: str = "r
                     record = json.loads(raw) if raw is not None else None
                 except ValueError:
                     record = None
-                known = fingerprint(record_paths(record)) if isinstance(record, dict) else ""
-                name = BY_FINGERPRINT.get(known)
+                paths = record_paths(record) if isinstance(record, dict) else set()
+                known, name = fingerprint(paths) if paths else "", layout_of(paths)
                 if name is None or "rows" in MAPPINGS[name]:
                     out.append((key, None, None, None, f"unknown:{known}"))
                 else:
