@@ -334,7 +334,9 @@ def representatives(documents: DataFrame, **options) -> DataFrame:
     with a null doc_id can't be told apart by it and stay."""
     found = similar(documents, **options)
     named = found.filter("doc_id IS NOT NULL")
-    documents = documents.join(named.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(documents.columns)
+    # written, so that Spark knows its size: few ids are broadcast (spark.sql.autoBroadcastJoinThreshold), and only many make the texts travel
+    gone, _ = written(named.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    documents = documents.join(gone, "doc_id", "left_anti").select(documents.columns)
     again = named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     if not again.isEmpty():
         first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
