@@ -160,6 +160,38 @@ def test_quality_separates_junk(spark):
     assert quality.scored(df.limit(0), labels).collect() == []
 
 
+def test_quality_equals_plain_discriminant(spark):
+    """Differences of log densities as numpy's determinant and inverse give them; scores keep their order."""
+    texts = [(k, prose(40 + k % 30, k) if k % 3 else " ".join(w.upper() for w in prose(10 + k % 9, k).split())) for k in range(90)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    x = np.array([quality.statistics(t.encode()) for _, t in texts])
+    y = np.array([int(k % 3 > 0) for k, _ in texts])
+    model = quality.fitted(spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y, strict=True)], "x array<double>, label int"))
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    covariances = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum(np.mean(y == c) * covariances[c] for c in (0, 1))
+    logs = []
+    for c in (0, 1):
+        share = 0.2 + 0.8 * 16 / (16 + (y == c).sum())
+        cov = 0.95 * ((1 - share) * covariances[c] + share * pooled) + 0.05 * np.diag(np.diag(pooled) + 1)
+        d = np.clip(z, -8, 8) - z[y == c].mean(axis=0)
+        logs.append(np.log(np.mean(y == c)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
+    assert np.allclose(model.differences(x), logs[1] - logs[0], atol=1e-6)
+    assert (np.diff(model.scores(x)[np.argsort(model.differences(x))]) >= 0).all() and model.slope < 1
+    got = {r.doc_id: r.score for r in quality.scored(df, spark.createDataFrame([(k, int(c)) for (k, _), c in zip(texts, y, strict=True)], "doc_id long, quality int"), held_out=10**9).collect()}
+    assert np.allclose([got[k] for k, _ in texts], model.scores(x), atol=1e-6)
+    assert np.isfinite([quality.statistics(b""), quality.statistics(b" \n")]).all()
+
+
+def test_quality_of_repeated_rows(spark, docs, none):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, quality int")
+    got = quality.scored(docs, labels).collect()
+    assert len(got) == len(rows()) and len({r.score for r in got if r.doc_id == 3}) == 1
+    kept = quality.accepted(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got)
+    assert quality.accepted(none, labels).collect() == []
+
+
 # --- 4 ---------------------------------------------------------------------
 
 
@@ -466,10 +498,10 @@ def test_chat_formatting(spark):
 
 
 def test_layouts(spark):
-    records = [{"prompt": "p", "response": "r"}, {"instruction": "i", "input": "", "output": "o"}, {"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": None}]}, {"conversations": [{"from": "human", "value": "h"}]}, {"other": 1}]
+    records = [{"prompt": "p", "response": "r"}, {"instruction": "i", "input": "", "output": "o"}, {"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": None}]}, {"conversations": [{"from": "human", "value": "h"}]}, {"other": 1}, {"instruction": "i", "input": "n", "output": "o", "source": {"url": "u"}}, {"messages": [{"role": "user", "content": "u", "weight": 1}], "id": 3}]
     df = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(records)] + [(8, None), (9, "{")], "record_id long, record string")
     got = sorted(((r.conv_id, r.turn, r.role, r.text) for r in chat.turns_from_json(df).collect()), key=lambda r: (r[0], r[1] or 0))
-    assert got == [(0, 0, "user", "p"), (0, 1, "assistant", "r"), (1, 0, "user", "i"), (1, 1, "assistant", "o"), (2, 0, "user", "u"), (2, 1, "assistant", ""), (3, 0, "user", "h"), (4, None, None, None), (8, None, None, None), (9, None, None, None)]
+    assert got == [(0, 0, "user", "p"), (0, 1, "assistant", "r"), (1, 0, "user", "i"), (1, 1, "assistant", "o"), (2, 0, "user", "u"), (2, 1, "assistant", ""), (3, 0, "user", "h"), (4, None, None, None), (5, 0, "user", "i\n\nn"), (5, 1, "assistant", "o"), (6, 0, "user", "u"), (8, None, None, None), (9, None, None, None)]
 
 
 # --- 10 --------------------------------------------------------------------

@@ -2,8 +2,10 @@
 
 Each text gives a vector of transformed statistics. For each class the mean and the covariance come from
 sums over all training rows; covariances are shrunk towards the pooled covariance and its diagonal, and
-their Cholesky factors are kept. A text's score is the logistic function of the difference of the two
-classes' log densities (Mahalanobis distances and log determinants) plus the log of the priors.
+their Cholesky factors are kept. What separates the classes is the difference of their log densities
+(Mahalanobis distances and log determinants) plus that of the log priors. A score is the logistic function of a line
+of that difference; slope and shift are fitted to the training rows, because the statistics are not normal and the raw
+difference is far too sure of itself. Nothing of the rows held out is used.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treeline.llm.common import table, written
 
@@ -39,8 +43,6 @@ def statistics(raw: bytes) -> list[float]:
     kinds = np.bincount(_KIND[np.frombuffer(raw, np.uint8)], minlength=8).tolist()
     words = raw.split()
     n, size = len(words), len(raw)
-    if not n:
-        return [0.0] * len(NAMES)
     letters = kinds[_UPPER] + kinds[_LOWER]
     lengths = np.fromiter(map(len, words), np.int64, n)
     counts = Counter(words)
@@ -52,16 +54,16 @@ def statistics(raw: bytes) -> list[float]:
     return [
         math.log1p(n),
         math.log((int(lengths.sum()) + 50) / (n + 10)),
-        math.log1p(math.sqrt((float(lengths.var()) * n + 60) / (n + 10))),
+        math.log1p(math.sqrt((float(((lengths - lengths.mean()) ** 2).sum() if n else 0) + 60) / (n + 10))),
         _logit(kinds[_UPPER], letters, 50, 0.03),
         _logit(kinds[_DIGIT], size, 100, 0.002),
         _logit(kinds[_POINT], size, 100, 0.03),
         _logit(kinds[_SYMBOL], size, 100, 0.001),
         _logit(kinds[_HIGH], size, 100, 0.05),
         math.log((len(counts) + 20) / (n + 20) ** 0.8),
-        _logit(max(counts.values()), n, 30, 0.06),
+        _logit(max(counts.values(), default=0), n, 30, 0.06),
         _logit(repeats, n, 20, 0.005),
-        _logit(n - 1 - pairs, n, 20, 0.01),
+        _logit(max(0, n - 1 - pairs), n, 20, 0.01),
         _logit(len(lines) - len(set(lines)), len(lines), 5, 0.01),
         math.log((n + 20) / (sentences + 2)),
         _logit(int((lengths <= 3).sum()), n, 20, 0.35),
@@ -94,11 +96,17 @@ class Model:
     means: np.ndarray
     factors: np.ndarray
     constants: np.ndarray
+    slope: float = 1.0
+    shift: float = 0.0
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def differences(self, x: np.ndarray) -> np.ndarray:
+        """Log density and prior of class 1 less those of class 0; statistics are held within eight deviations."""
         z = np.clip((x - self.centre) / self.scale, -8, 8)
         logs = [c - 0.5 * (((z - m) @ f.T) ** 2).sum(axis=1) for m, f, c in zip(self.means, self.factors, self.constants, strict=True)]
-        return 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / 2, -30, 30)))
+        return logs[1] - logs[0]
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.differences(x) + self.shift, -30, 30)))
 
 
 def moments(training: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -145,7 +153,37 @@ def fitted(training: DataFrame, shrinkage: float = 0.2, ridge: float = 0.05) ->
         root = np.linalg.cholesky(cov)
         factors.append(np.linalg.inv(root))
         constants.append(math.log(by[c][0] / total) - np.log(np.diag(root)).sum())
-    return Model(centre, scale, np.array([(means[c] - centre) / scale for c in (0, 1)]), np.array(factors), np.array(constants))
+    model = Model(centre, scale, np.array([(means[c] - centre) / scale for c in (0, 1)]), np.array(factors), np.array(constants))
+    model.slope, model.shift = calibrated(model, training)
+    return model
+
+
+#: Differences are counted in bins of this width, up to this many on each side.
+BIN, BINS = 0.25, 400
+
+
+def calibrated(model: Model, training: DataFrame) -> tuple[float, float]:
+    """Slope and shift of the least log loss over the training rows, from counts by label and bin of the difference."""
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d = model.differences(np.stack(batch.column(0).to_numpy(zero_copy_only=False)))
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.clip(np.round(d / BIN), -BINS, BINS).astype(np.int32))], ["label", "bin"])
+
+    counts = training.select("x", "label").mapInArrow(bins, "label int, bin int").groupBy("label", "bin").count().collect()  # at most 2 * (2 * BINS + 1) rows
+    label, d, n = (np.array([r[k] for r in counts], float) for k in ("label", "bin", "count"))
+    ones, zeros = n[label == 1].sum(), n[label == 0].sum()
+    wanted = np.where(label == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    line, at = np.stack([d * BIN / 10, np.ones(len(d))]), np.array([1.0, 0.0])
+    for _ in range(60):  # Newton steps; the little ridge keeps separable rows from an endless slope
+        p = 1 / (1 + np.exp(-np.clip(at @ line, -30, 30)))
+        slope = line @ (n * (wanted - p)) - 1e-3 * at
+        step = np.linalg.solve((line * (n * p * (1 - p))) @ line.T + 1e-3 * np.eye(2), slope)
+        at = at + step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-9:
+            break
+    return (max(at[0], 1e-3) / 10, at[1])
 
 
 def _remainder(held_out: int):
@@ -161,20 +199,29 @@ def _taught(x: DataFrame, labels: DataFrame, held_out: int) -> DataFrame:
 def _scores(model: Model | float, rows) -> np.ndarray:
     if isinstance(model, float):
         return np.full(len(rows), model)
-    return np.round(model.scores(np.stack(rows)), 6) if len(rows) else np.empty(0)
+    return np.round(model.scores(np.stack(rows)), 9) if len(rows) else np.empty(0)
 
 
 def accepted(documents: DataFrame, labels: DataFrame, held_out: int = 5, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``documents``, with all columns, that ``scored`` would predict as 1."""
-    model = documents.sparkSession.sparkContext.broadcast(fitted(_taught(features(documents), labels, held_out)))
-    text = documents.columns.index("text")
+    """The rows of ``documents``, with all columns, that ``scored`` would predict as 1. The statistics are written once, beside the rows."""
+    text, name = documents.columns.index("text"), "x"
+    while name in documents.columns:
+        name += "_"
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [statistics((t.as_py() or "").encode()) for t in batch.column(text)]
-            yield batch.filter(pa.array(_scores(model.value, rows) >= threshold))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], [*batch.schema.names, name])
+
+    marked, _ = written(documents.mapInArrow(scan, T.StructType([*documents.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])), "statistics")
+    x = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("x"))
+    model = documents.sparkSession.sparkContext.broadcast(fitted(_taught(x, labels, held_out)))
+
+    @F.pandas_udf("boolean")
+    def good(x: pd.Series) -> pd.Series:
+        return pd.Series(_scores(model.value, x.to_numpy()) >= threshold)
 
-    return documents.mapInArrow(keep, documents.schema)
+    return marked.filter(good(F.col(name))).select(documents.columns)
 
 
 def scored(documents: DataFrame, labels: DataFrame, held_out: int = 5, threshold: float = 0.3) -> DataFrame:
@@ -182,7 +229,7 @@ def scored(documents: DataFrame, labels: DataFrame, held_out: int = 5, threshold
 
     Rows whose crc32(doc_id as text) mod ``held_out`` is 0 are held out of the training; their labels are
     never read. Labels that are neither 0 nor 1, or have no document, don't count; repeated label rows count
-    each. A null doc_id is not held out and has no label. Null and empty texts have all statistics 0. If
+    each. A null doc_id is not held out and has no label. Null and empty texts have the statistics' usual values. If
     the labels lack a class, every score is 1, 0 or (no labels) 0.5. Repeated rows are repeated in the
     result. Only doc_id and text, and doc_id and quality, are read.
     """
