@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeline.functions import dates
-from treeline.functions.ordered_filters import ORDERED, ordered
+from treeline.functions.ordered_filters import ORDERED, occurrence, ordered
 from treeline.functions.value_filters import Value, filtered
 from treeline.plans.rows import N, Rows
 
@@ -323,3 +323,51 @@ def _http(rows, field, url, to=None):
     from treeline.functions.value_filters import fetched
 
     return _put(rows, to or field, fetched(_get(rows, field).text, url)), F.lit(True)
+
+
+# --- of other filters ---
+
+
+def _held(rows: Rows, verdict: Column) -> tuple[Rows, Column]:
+    """The verdict as a hidden column, so that later changes of fields don't change it."""
+    name = f"__held{len(rows.df.columns)}"
+    return replace(rows, df=rows.df.withColumn(name, F.coalesce(verdict, F.lit(False)))), F.col(name)
+
+
+@bundle_filter("unary")
+def _unary(rows, filter=None, operation="identity"):  # noqa: A002
+    """A filter's verdict as it is (``identity``) or not (``negate``), or always ``true`` or ``false``; what it changes stays."""
+    rows, own = _held(*compiled(rows, filter)) if filter is not None else (rows, F.lit(True))
+    operation = operation.lower()
+    if operation in ("true", "false"):
+        return rows, F.lit(operation == "true")
+    if operation not in ("identity", "negate"):
+        raise ValueError(f"no operation {operation!r}")
+    return rows, ~own if operation == "negate" else own
+
+
+def _unary_named(operation: str, *names: str) -> None:
+    bundle_filter(*names)(lambda rows, filter=None, **options: _unary(rows, filter if filter is not None else {"op": "field", "test": True, **options} if options else None, operation))
+
+
+_unary_named("identity", "is", "wrap")
+_unary_named("negate", "invert", "isn't", "is not", "is-null-or-empty")
+_unary_named("true", "true", "safely", "ignore")
+_unary_named("false", "false", "then fail")
+
+
+@bundle_filter("set")
+def _set(rows, to, value, filter=None):  # noqa: A002
+    """Sets a field to a constant where the inner filter passes; its verdict is the result."""
+    rows, own = _held(*(compiled(rows, filter) if filter is not None else (rows, F.lit(True))))
+    now = _get(rows, to)
+    return _put(rows, to, F.when(own, F.lit(value)).otherwise(now.text if isinstance(value, str) else now.c)), own
+
+
+@bundle_filter("limit-cms")
+def _limit_by_key(rows, keyFields, limit, valueField=None, bound="UPPER"):  # noqa: N803
+    """How often a value was seen under its key, in order of the rows: UPPER keeps the first ``limit``, LOWER what comes
+    after them. Counted exactly, not by a sketch."""
+    fields = [*([keyFields] if isinstance(keyFields, str) else keyFields), *([valueField] if valueField else [])]
+    rows, seen = occurrence(rows, F.to_json(F.array(*[F.coalesce(_get(rows, f).text, F.lit("")) for f in fields])))
+    return _held(rows, seen < limit if bound.upper() == "UPPER" else seen >= limit)

@@ -31,7 +31,7 @@ class Program:
         self.rows = rows
         self.stack: list[tuple[Column, bool]] = []
         self.tests: list[Column] = []
-        self.vector = False
+        self.vector = self.strict = False
 
     def push(self, value: Column, floating: bool) -> None:
         self.stack.append((value, floating))
@@ -69,6 +69,19 @@ class Program:
         elif name == "sub":
             a, b, f = self.two()
             self.push(b - a, f)
+        elif name == "diverr":
+            self.strict = True
+        elif name in ("tob", "btof"):  # the bits of a double as a long, and back
+            a, _ = self.stack.pop()
+            how, given = ("doubleToRawLongBits", _double(a)) if name == "tob" else ("longBitsToDouble", _long(a))
+            self.push(F.call_function("java_method", F.lit("java.lang.Double"), F.lit(how), given).cast("bigint" if name == "tob" else "double"), name == "btof")
+        elif name in ("div", "ddiv", "rem") and self.strict:
+            a, b, f = self.two()
+            zero = F.raise_error(F.lit("division by zero"))
+            if name == "ddiv" or f and name == "div":
+                self.push(F.when(_double(a) == 0, zero.cast("double")).otherwise(F.try_divide(_double(b), _double(a))), True)
+            else:
+                self.push(F.when(_long(a) == 0, zero.cast("bigint")).otherwise(F.try_mod(_long(b), _long(a)) if name == "rem" else F.call_function("div", _long(b), F.nullif(_long(a), F.lit(0).cast("bigint")))), False)
         elif name in ("div", "ddiv", "rem"):
             a, b, f = self.two()
             if name == "ddiv" or f and name == "div":

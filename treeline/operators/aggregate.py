@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import replace
+from urllib.parse import unquote
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from treeline.operators.registry import op
-from treeline.plans.rows import N, Rows, islands, running
+from treeline.plans.rows import N, P, Rows, islands, running
 
 MOST_COLUMNS = 10_000
 
@@ -119,21 +120,33 @@ def merge(rows: Rows, spec: str) -> Rows:
     return Rows(df, merged.columns, tuple((f"__k{k}", True) for k in range(len(extra))))
 
 
+#: Ops that look at one row only: under ``groupby`` they do what they do without.
+ROW_OPS = {"order", "ordermap", "map", "rmap", "compare", "contains", "filter", "num", "math", "str", "datef", "fill", "pad"}
+
+
+def _group_keys(rows: Rows, text: str) -> list[str]:
+    """Column references, or a letter for each column (k: key)."""
+    refs = text.split(",")
+    if all(rows.has(r) for r in refs):
+        return [rows.name(r) for r in refs]
+    return [rows.name(k) for k, letter in enumerate(_letters(text)[0]) if letter == "k"]
+
+
 @op("groupby")
 def group_by(rows: Rows, args: str) -> Rows:
-    """``keys:ops``: sort, limit and gather for each key. Rows keep their order."""
-    refs, _, sub = args.partition(":")
-    keys = [rows.name(r) for r in refs.split(",")]
+    """``keys:ops``: a pipeline for each key; keys are columns, or letters as in ``gather``. Rows keep their order; in the
+    arguments ``%3B`` stands for the ``;`` between ops."""
     from treeline.operators.registry import run, split_ops
 
-    for name, given in split_ops(sub):
-        if name == "limit":
-            skip, n = ([int(x) for x in given.split(":")] if ":" in given else [0, int(given)])
-            rows = rows if rows.order else rows.numbered()
-            place = F.row_number().over(Window.partitionBy(*keys).orderBy(*rows.sort_keys()))
-            rows = replace(rows, df=rows.df.withColumn("__place", place).filter(F.col("__place").between(skip + 1, skip + n)).drop("__place"))
-        elif name in ("sort", "dsort"):
+    text, _, sub = args.partition(":")
+    keys = _group_keys(rows, text)
+    for name, given in split_ops(unquote(sub)):
+        if name in ("limit", "skip", "range", "reverse", "median"):
+            rows = _placed_in_groups(rows, keys, name, given)
+        elif name in ("sort", "dsort") or name in ROW_OPS:
             rows = run(rows, f"{name}={given}")
+        elif name in ("min", "max", "sum", "avg", "delta") and not re.match("[if]?S", given):
+            rows = _running_in_groups(rows, keys, name, given)
         elif name in ("gather", "top"):
             letters = iter(_letters(given)[0])
             spec = "".join("k" if c in keys else next(letters, "i") for c in rows.columns)
@@ -143,6 +156,43 @@ def group_by(rows: Rows, args: str) -> Rows:
     return rows
 
 
+def _placed_in_groups(rows: Rows, keys: list[str], name: str, given: str) -> Rows:
+    """Ops that go by a row's place, with the place within its group (from 0)."""
+    rows = rows if rows.order else rows.numbered()
+    group = Window.partitionBy(*keys)
+    place, size = F.row_number().over(group.orderBy(*rows.sort_keys())) - 1, F.count("*").over(group)
+    if name == "reverse":
+        back = replace(rows, df=rows.df.withColumn("__place", size - place))
+        return replace(back, df=back.df.withColumn("__k_back", F.col("__place")).drop("__place"), order=(("__k_back", True),))
+    rows = replace(rows, df=rows.df.withColumns({"__place": place, "__size": size}))
+    at = F.col("__place")
+    if name == "limit":
+        skip, n = [int(x) for x in given.split(":")] if ":" in given else (0, int(given))
+        kept = at.between(skip, skip + n - 1)
+    elif name == "median":
+        kept = at == F.expr("__size div 2")
+    elif name == "skip":
+        kept = at >= int(given.split(",")[0])
+    else:
+        begin, end = ([int(x) for x in given.split(",")] + [None])[:2]
+        whole = lambda x: F.lit(x) if x >= 0 else F.col("__size") + x
+        kept = (at >= whole(begin)) & (at < whole(end)) if end is not None else at >= whole(begin)
+    return replace(rows, df=rows.df.filter(kept).drop("__place", "__size", P))
+
+
+def _running_in_groups(rows: Rows, keys: list[str], name: str, given: str) -> Rows:
+    """Running values that begin anew with each group, whether its rows stand together or not."""
+    from treeline.operators.registry import run
+
+    rows = rows.numbered()
+    together = replace(rows.sorted_by([(rows.col(k), True) for k in keys]))
+    place = rows.fresh("__came")
+    together = Rows(together.df.withColumn(place, F.col(together.hidden[-1])), (*rows.columns, place), together.order)
+    done = run(together, f"{name}={given}:{','.join(keys)}")
+    visible = tuple(c for c in done.columns if c != place)
+    return Rows(done.df.select(*[F.col(f"`{c}`") for c in visible], F.col(place).alias("__k0")), visible, (("__k0", True),))
+
+
 @op("fold")
 def fold(rows: Rows, args: str) -> Rows:
     """``keys:column:values:copied``: a run of equal keys becomes one row with a column for each value and copied column."""
@@ -187,13 +237,27 @@ def pivot(rows: Rows, args: str) -> Rows:
 
 @op("depivot")
 def depivot(rows: Rows, args: str) -> Rows:
-    """``row,column,value``: names of the new columns; the first column labels the rows, the others become rows."""
-    row, column, value = (args.split(",") + ["row", "column", "value"][args.count(",") + 1 :])[:3] if args else ("row", "column", "value")
+    """``row,column,value[,extra..]``: names of the new columns. The first row is the header: its cells label the columns that
+    become rows; the first column labels the rows. Columns without a label are dropped, but for one, from the left, for each
+    ``extra``, which each new row gets. With ``names:`` before the arguments the columns' own names are the labels, and there is no header row."""
+    named = args.startswith("names:")
+    row, column, value, *extra = [*(args.removeprefix("names:").split(",") if args else []), *["row", "column", "value"][args.count(",") + 1 if args else 0 :]]
     rows = rows.numbered()
     label, others = rows.columns[0], rows.columns[1:]
-    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c"), rows.col(c).cast("string").alias("v")) for k, c in enumerate(others)])
-    df = rows.df.select(rows.col(label).alias(row), F.explode(pairs).alias("x"), F.col(N).alias("__k0")).select(row, F.col("x.c").alias(column), F.col("x.v").alias(value), "__k0", F.col("x.k").alias("__k1"))
-    return Rows(df, (row, column, value), (("__k0", True), ("__k1", True)))
+    if named:
+        labels = dict(zip(others, others, strict=True))
+    else:
+        head = rows.df.filter(F.col(N) == 0).select(*[rows.col(c).cast("string").alias(c) for c in others]).collect()  # one row
+        labels = {c: head[0][c] if head else None for c in others}
+        rows = rows.filter(F.col(N) > 0)
+    more = [c for c in others if labels[c] is None][: len(extra)]
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(labels[c]).alias("c"), rows.col(c).cast("string").alias("v")) for k, c in enumerate(c for c in others if labels[c] is not None)])
+    if all(v is None for v in labels.values()):
+        pairs = F.array().cast("array<struct<k int, c string, v string>>")
+    df = rows.df.select(rows.col(label).alias(row), *[rows.col(c).alias(n) for c, n in zip(more, extra, strict=False)], F.explode(pairs).alias("x"), F.col(N).alias("__k0"))
+    visible = (row, column, value, *extra[: len(more)])
+    df = df.select(row, F.col("x.c").alias(column), F.col("x.v").alias(value), *extra[: len(more)], "__k0", F.col("x.k").alias("__k1"))
+    return Rows(df, visible, (("__k0", True), ("__k1", True)))
 
 
 @op("trans", "t")
@@ -252,7 +316,7 @@ def histogram_of_bounds(rows: Rows, args: str) -> Rows:
     ref, _, frequency = ref.partition(":")
     floating = any("." in b for b in bounds)
     limits = sorted(float(b) if floating else int(b) for b in bounds)
-    limits = [float("-inf") if floating else -(1 << 63), *limits]
+    limits = [float("-inf") if floating else -(1 << 31), *limits]  # the least number of 32 bits
     kind = "double" if floating else "bigint"
     v = rows.number(ref, kind)
     bucket = F.lit(limits[0]).cast(kind)
@@ -306,7 +370,7 @@ def median(rows: Rows, args: str) -> Rows:
     """The middle row."""
     rows = rows.numbered()
     total = rows.df.agg(F.count("*").alias("__all"))
-    df = rows.df.join(F.broadcast(total), F.col(N) == F.expr("__all div 2"), "left_semi")
+    df = rows.df.join(F.broadcast(total), F.col(N) == F.expr("__all div 2"), "left_semi").drop(P)
     return Rows(df, rows.columns, rows.order)
 
 
@@ -329,7 +393,7 @@ def remove_singletons(rows: Rows, args: str) -> Rows:
     rows = islands(rows, [rows.col(key)])
     v = rows.col(value)
     kept = rows.df.groupBy("__island").agg(F.min(v).alias("a"), F.max(v).alias("b")).filter("a <> b").select("__island")
-    return Rows(rows.df.join(kept, "__island", "left_semi"), rows.columns, rows.order)
+    return Rows(rows.df.join(kept, "__island", "left_semi").drop(P), rows.columns, rows.order)
 
 
 @op("seen")

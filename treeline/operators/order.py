@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from treeline.operators.registry import op
-from treeline.plans.rows import N, Rows
+from treeline.plans.rows import N, P, Rows
 
 
 @op("sort", "dsort")
@@ -53,7 +53,7 @@ def row_range(rows: Rows, args: str) -> Rows:
     total = rows.df.agg(F.count("*").alias("__all"))
     a = F.lit(begin) if begin >= 0 else F.col("__all") + begin
     b = F.lit(end) if end > 0 else F.col("__all") + end
-    df = rows.df.crossJoin(F.broadcast(total)).filter((F.col(N) >= F.least(a, b)) & (F.col(N) < F.greatest(a, b))).drop("__all")  # one row
+    df = rows.df.crossJoin(F.broadcast(total)).filter((F.col(N) >= F.least(a, b)) & (F.col(N) < F.greatest(a, b))).drop("__all", P)  # one row
     return replace(rows, df=df)
 
 

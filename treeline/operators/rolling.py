@@ -39,8 +39,8 @@ def _rolled(rows: Rows, args: str, how: str) -> Rows:
     else:
         base = "sum" if how == "avg" else how
         if keys:
-            f = {"sum": F.sum, "min": F.min, "max": F.max}[base]
-            df = rows.df.withColumns({f"__d{n}": f(v).over(along) for n, v in values.items()} | {"__c": F.row_number().over(Window.partitionBy("__island").orderBy(N))})
+            f = {"sum": lambda v: F.coalesce(F.sum(v).over(along), F.lit(0)), "min": lambda v: F.min(v).over(along), "max": lambda v: F.max(v).over(along)}[base]
+            df = rows.df.withColumns({f"__d{n}": f(v) for n, v in values.items()} | {"__c": F.row_number().over(Window.partitionBy("__island").orderBy(N))})
         else:
             for n, v in values.items():
                 rows = running(rows, f"__d{n}", v, base)

@@ -75,7 +75,7 @@ ops("pivot", "orders", ORDERS[2:], "pivot=priority,status,cents,sum", f"SELECT p
 ops("pivot_totals", "orders", ORDERS[2:], "pivot=priority,status,cents,sum,sum,sum", f"""
 WITH p AS (SELECT priority, coalesce(sum(cents) FILTER (status = 'F'), 0)::BIGINT AS F, coalesce(sum(cents) FILTER (status = 'O'), 0)::BIGINT AS O, coalesce(sum(cents) FILTER (status = 'P'), 0)::BIGINT AS P FROM {O} GROUP BY 1)
 SELECT priority, F, O, P, F + O + P AS __sum__ FROM p UNION ALL SELECT '__sum__', sum(F)::BIGINT, sum(O)::BIGINT, sum(P)::BIGINT, sum(F + O + P)::BIGINT FROM p""")
-ops("depivot", "nation", ["n_name", "n_nationkey", "n_regionkey"], "depivot=row,column,value", "SELECT n_name AS row, 'n_nationkey' AS column, n_nationkey::VARCHAR AS value FROM nation UNION ALL SELECT n_name, 'n_regionkey', n_regionkey::VARCHAR FROM nation", order=("n_nationkey",))
+ops("depivot", "nation", ["n_name", "n_nationkey", "n_regionkey"], "depivot=names:row,column,value", "SELECT n_name AS row, 'n_nationkey' AS column, n_nationkey::VARCHAR AS value FROM nation UNION ALL SELECT n_name, 'n_regionkey', n_regionkey::VARCHAR FROM nation", order=("n_nationkey",))
 ops("transpose", "region", ["r_regionkey", "r_name"], "trans", "SELECT " + ", ".join(f"max(r_regionkey::VARCHAR) FILTER (r_regionkey = {k}) AS c{k}" for k in range(5)) + " FROM region UNION ALL SELECT " + ", ".join(f"max(r_name) FILTER (r_regionkey = {k})" for k in range(5)) + " FROM region", order=("r_regionkey",))
 ops("frequency_table", "lineitem", ["l_returnflag as mode", "cast(l_quantity as bigint) as quantity", "1 as n"], "gather=kks;sort=0,1:s,l;ftable=0:1,2:0.25,0.5,total", """
 WITH g AS (SELECT l_returnflag AS mode, l_quantity::BIGINT AS q, count(*) AS n FROM lineitem GROUP BY ALL),

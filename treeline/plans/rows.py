@@ -75,7 +75,8 @@ class Rows:
         return replace(self, df=self.df.withColumn(name, value), columns=self.columns if name in self.columns else (*self.columns, name))
 
     def filter(self, condition: Column) -> Rows:
-        return replace(self, df=self.df.filter(condition))
+        """Fewer rows; places that ``numbered`` gave no longer hold."""
+        return replace(self, df=self.df.filter(condition).drop(P))
 
     def unordered(self, df: DataFrame) -> Rows:
         return Rows(df, tuple(df.columns))
@@ -142,7 +143,7 @@ def lagged(rows: Rows, values: dict[str, Column]) -> Rows:
 
 
 def running(rows: Rows, name: str, value: Column, how: str) -> Rows:
-    """``rows`` numbered, with the sum, min or max of ``value`` from the first row to this one."""
+    """``rows`` numbered, with the sum (of none: 0), min or max of ``value`` from the first row to this one."""
     rows = rows.numbered()
     aggregate = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     df = rows.df.withColumn("__v", value)
@@ -150,7 +151,7 @@ def running(rows: Rows, name: str, value: Column, how: str) -> Rows:
     before = Window.orderBy(P).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     parts = parts.select(P, aggregate("__t").over(before).alias("__c"))
     own = aggregate("__v").over(Window.partitionBy(P).orderBy(N).rowsBetween(Window.unboundedPreceding, 0))
-    both = {"sum": F.when(own.isNull() & F.col("__c").isNull(), None).otherwise(F.coalesce(own, F.lit(0)) + F.coalesce("__c", F.lit(0))), "min": F.least(own, "__c"), "max": F.greatest(own, "__c")}[how]
+    both = {"sum": F.coalesce(own, F.lit(0)) + F.coalesce("__c", F.lit(0)), "min": F.least(own, "__c"), "max": F.greatest(own, "__c")}[how]
     df = df.join(F.broadcast(parts), P).withColumn(name, both).drop("__v", "__c")
     return Rows(df, rows.columns, rows.order)
 

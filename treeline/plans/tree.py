@@ -1,7 +1,8 @@
 """Counted trees as node tables, and path queries over them.
 
 A tree is described by path elements: {"const": name}, {"field": column}, {"file": column, "sep": "/"},
-{"keyop": {...bundle filter}}, {"branch": [[...], [...]]}, or a list of elements. Each row touches the nodes of
+{"keyop": {...bundle filter}} (changes fields, makes no node), {"call": name} (the elements of that name in ``named``), {"op": ...} and
+{"debug": ...} (nothing), {"branch": [[...], [...]]}, or a list of elements. Each row touches the nodes of
 each prefix of its paths once; ``hits`` counts touches. One explode and one aggregation with map-side combining
 build the node table: path, depth, name, hits, nodes (children), and the buffers of attachments.
 """
@@ -43,8 +44,9 @@ def _values(df: DataFrame, element: dict) -> Column:
 
 
 class _Builder:
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, named: dict[str, list] | None = None):
         self.df = df
+        self.named, self.open, self.changes = named or {}, [], False
         self.touches: list[tuple[Column, int]] = []  # arrays of paths, and the element's number
         self.specs: dict[int, dict] = {}
 
@@ -59,12 +61,33 @@ class _Builder:
                     self.add(sub if isinstance(sub, list) else [sub], prefixes)
             elif "file" in e:
                 prefixes = self.file(e, prefixes)
+            elif "keyop" in e:
+                self.df = self.changed(e["keyop"])
+            elif "call" in e or "path" in e:
+                name = e.get("call") or e["path"]
+                if name in self.open:
+                    raise ValueError(f"path {name!r} calls itself")
+                self.open.append(name)
+                prefixes = self.add(self.named[name], prefixes)
+                self.open.pop()
+            elif "op" in e or "debug" in e:
+                continue
             else:
                 prefixes = self.level(e, prefixes)
         return prefixes
 
+    def changed(self, spec) -> DataFrame:
+        """The rows with the fields that a bundle filter changes; its verdict keeps no row away."""
+        from treeline.functions.bundle_filters import compiled
+
+        return compiled(Rows.of(self.df), spec)[0].plain()
+
     def level(self, e: dict, prefixes: Column) -> Column:
         values = _values(self.df, e)
+        if self.changes:  # later changes of fields are not for this level
+            hold = f"__level{len(self.specs)}"
+            self.df = self.df.withColumn(hold, values)
+            values = F.col(hold)
         nested = F.flatten(F.transform(prefixes, lambda p: F.transform(values, lambda v: F.array_append(p, v))))
         number = len(self.specs)
         self.specs[number] = e.get("data", {})
@@ -83,11 +106,14 @@ class _Builder:
         return F.flatten(F.transform(prefixes, lambda p: F.transform(whole, lambda h: F.concat(p, h))))
 
 
-def built(df: DataFrame, elements: list, where: Column | None = None, hits: str | None = None) -> Tree:
-    """The tree of all rows (of those that ``where`` keeps). ``hits``: a column that counts instead of 1."""
+def built(df: DataFrame, elements: list, where: Column | None = None, hits: str | None = None, named: dict[str, list] | None = None) -> Tree:
+    """The tree of all rows (of those that ``where`` keeps). ``hits``: a column that counts instead of 1; ``named``: elements
+    that others call."""
     df = df.filter(where) if where is not None else df
-    b = _Builder(df)
+    b = _Builder(df, named)
+    b.changes = "'keyop'" in repr((elements, named))
     b.add(elements, F.array(F.array().cast("array<string>")))
+    df = b.df
     attachments = {n: made(s) for specs in b.specs.values() for n, s in specs.items()}
     of_children = frozenset(n for specs in b.specs.values() for n, s in specs.items() if s["type"] in OF_CHILDREN)
     keys = {f: f"__a_{f}" for a in attachments.values() for f in a.keys.values()}
@@ -289,10 +315,24 @@ def _test(match: str, name: Column) -> Column:
         low, _, high = match[1:].partition(",")
         test = name >= low if low else F.lit(True)
         return test & (name < high) if high else test
-    if match[0] in "|!":
-        hit = name.rlike(f"^(?:{match[1:]})$")
-        return ~hit if match[0] == "!" else hit
-    return name.isin([x for x in match.replace(";", ",").split(",") if x])
+    if match[0] in "|!":  # several patterns: any of those after |, none of those after !
+        test = F.lit(not any(p[0] == "|" for p in _patterns(match)))
+        for p in _patterns(match):
+            hit = name.rlike(f"^(?:{p[1:]})$")
+            test = test | hit if p[0] == "|" else test
+        for p in _patterns(match):
+            test = test & ~name.rlike(f"^(?:{p[1:]})$") if p[0] == "!" else test
+        return test
+    return name.isin(_listed(match))
+
+
+def _patterns(match: str) -> list[str]:
+    return re.split(r",(?=[|!])", match)
+
+
+def _listed(match: str) -> list[str]:
+    """The names of a list, in the order in which they are asked for; [] for other levels."""
+    return [x for x in match.replace(";", ",").split(",") if x] if match[0] not in "*^@|!%" else []
 
 
 def _virtual(tree: Tree, name: str, option: str) -> tuple[Column, bool]:
@@ -333,6 +373,7 @@ def query(tree: Tree, path: str | list[str], ops: str = "", rops: str = "") -> R
         return run(rows, ops) if ops else rows
 
     levels = [x for x in _levels(path)]
+    places: list[Column] = []  # the sort key of each level: the name, or its place in a list
     virtual = None
     if levels and levels[-1].match.startswith("%"):
         virtual = levels.pop()
@@ -354,6 +395,8 @@ def query(tree: Tree, path: str | list[str], ops: str = "", rops: str = "") -> R
             continue
         at += 1
         name = F.get("path", F.lit(at - 1))
+        listed = _listed(x.match) if not x.up else []
+        places.append(F.lpad(F.array_position(F.array(*map(F.lit, listed)), name).cast("string"), 9, "0") if len(listed) > 1 else name)
         if x.match.startswith("@@"):
             other = [p for p in x.match[2:].split("/") if p]
             inside = tree.nodes.filter(F.col("depth") == len(other) + 1)
@@ -387,10 +430,10 @@ def query(tree: Tree, path: str | list[str], ops: str = "", rops: str = "") -> R
             nodes = _bounded(nodes, value, tests)
             if collected:
                 columns[label(None, prop)] = value
-        out = nodes.select(*[c.alias(n) for n, c in columns.items()], F.col("path").alias("__k0"), F.col("__at").alias("__k1"))
+        out = nodes.select(*[c.alias(n) for n, c in columns.items()], F.array(*places).alias("__k0"), F.col("__at").alias("__k1"))
         rows = Rows(out, tuple(columns), (("__k0", True), ("__k1", True)))
     else:
-        out = nodes.select(*[c.alias(n) for n, c in columns.items()], F.col("path").alias("__k0"))
+        out = nodes.select(*[c.alias(n) for n, c in columns.items()], F.array(*places).alias("__k0"))
         rows = Rows(out, tuple(columns), (("__k0", True),))
     rows = run(rows, rops) if rops else rows
     return run(rows, ops) if ops else rows
