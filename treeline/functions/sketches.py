@@ -2,32 +2,45 @@
 
 from __future__ import annotations
 
+import math
 import struct
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bits of a bitmap that Spark's bitmap functions make.
-BITS = 32_768
+#: Bits of a bitmap that Spark's bitmap functions make, and how many of them a hash may have (a filter of four hashes then has 1 MB).
+BITS, MOST_MAPS = 32_768, 64
 
 
-def _place(value: Column, k: int) -> Column:
-    text = value.cast("string")
-    return F.pmod(F.pmod(F.xxhash64(text, F.lit(1)), F.lit(BITS)) + F.lit(k) * F.pmod(F.xxhash64(text, F.lit(2)), F.lit(BITS)), F.lit(BITS))
+def bloom_maps(most: int | None, error: float, hashes: int) -> int:
+    """Bitmaps a hash, so that after ``most`` values one in 1 / ``error`` others passes. Each hash has bits of its own:
+    (1 - exp(-most / bits)) ** hashes pass."""
+    if not most:
+        return 1
+    maps = math.ceil(-most / math.log(1 - error ** (1 / hashes)) / BITS)
+    if maps > MOST_MAPS:
+        raise ValueError(f"a filter of {most} values with an error of {error} needs {maps} bitmaps a hash, more than {MOST_MAPS}")
+    return maps
 
 
-def bloom_aggregate(value: Column, hashes: int) -> Column:
-    """A Bloom filter of 32768 bits over a group's values: one bitmap for each hash, one after the other."""
-    return F.concat(*[F.bitmap_construct_agg(_place(F.when(value.isNotNull(), value), k)) for k in range(hashes)])
+def _place(value: Column, k: int, maps: int) -> Column:
+    text, bits = value.cast("string"), F.lit(BITS * maps)
+    return F.pmod(F.pmod(F.xxhash64(text, F.lit(1)), bits) + F.lit(k) * F.pmod(F.xxhash64(text, F.lit(2)), bits), bits)
 
 
-def in_bloom(bloom: Column, value: Column, hashes: int) -> Column:
+def bloom_aggregate(value: Column, hashes: int, maps: int = 1) -> Column:
+    """A Bloom filter over a group's values: ``maps`` bitmaps of 32768 bits for each hash, one after the other."""
+    places = [_place(F.when(value.isNotNull(), value), k, maps) for k in range(hashes)]
+    return F.concat(*[F.bitmap_construct_agg(F.when(F.floor(p / BITS) == m, F.pmod(p, F.lit(BITS)))) for p in places for m in range(maps)])
+
+
+def in_bloom(bloom: Column, value: Column, hashes: int, maps: int = 1) -> Column:
     """Whether a filter may hold the value; null for a null value."""
     found = F.lit(True)
     for k in range(hashes):
-        place = _place(value, k)
-        byte = F.conv(F.hex(F.substr(bloom, (F.floor(place / 8) + k * (BITS // 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        place = _place(value, k, maps)
+        byte = F.conv(F.hex(F.substr(bloom, (F.floor(place / 8) + k * maps * (BITS // 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         found = found & (F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1)
     return F.when(value.isNotNull(), found)
 

@@ -398,8 +398,9 @@ def remove_singletons(rows: Rows, args: str) -> Rows:
 
 @op("seen")
 def seen(rows: Rows, args: str) -> Rows:
-    """``column[,hashes]``: one row with a Bloom filter of the column."""
-    from treeline.functions.sketches import bloom_aggregate
+    """``column[,hashes[,max[,error]]]``: one row with a Bloom filter of the column, sized for ``max`` values."""
+    from treeline.functions.sketches import bloom_aggregate, bloom_maps
 
-    ref, *hashes = args.split(",")
-    return Rows(rows.df.agg(bloom_aggregate(rows.col(ref), int(hashes[0]) if hashes else 4).alias("bloom")), ("bloom",))
+    ref, hashes, most, error = (args.split(",") + ["", "", ""])[:4]
+    hashes = int(hashes or 4)
+    return Rows(rows.df.agg(bloom_aggregate(rows.col(ref), hashes, bloom_maps(int(most or 0), float(error or 0.01), hashes)).alias("bloom")), ("bloom",))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from treeline.functions import dates
 from treeline.functions.anomalies import anomaly, options_of
-from treeline.functions.sketches import bloom_aggregate, bloom_size, count_min_count, in_bloom
+from treeline.functions.sketches import BITS, bloom_aggregate, bloom_maps, bloom_size, count_min_count, in_bloom
 
 TYPES: dict[str, Callable[[dict], Attachment]] = {}
 
@@ -190,18 +190,22 @@ def _tdigest(o):
 
 @attachment("bloom", "seen")
 def _bloom(o):
-    """A Bloom filter of a key; ``a~b`` tells whether all the values may be in it (1 or null), ``bits`` how many are set."""
+    """A Bloom filter of a key, sized for ``max`` values with an ``error`` (0.01); ``a~b`` tells whether all the values may be in it (1 or
+    null), ``bits`` how many bits are set, ``sat`` their share in percent."""
     hashes = int(o.get("hash", 4))
+    maps = bloom_maps(o.get("max"), float(o.get("error", 0.01)), hashes)
 
     def value(b, x):
-        if x in ("bits", "sat"):
+        if x == "bits":
             return bloom_size(b("bits"))
+        if x == "sat":
+            return F.floor(bloom_size(b("bits")) * 100 / (hashes * maps * BITS))
         test = F.lit(True)
         for v in x.split("~"):
-            test = test & in_bloom(b("bits"), F.lit(v), hashes)
+            test = test & in_bloom(b("bits"), F.lit(v), hashes, maps)
         return F.when(test, F.lit(1))
 
-    return Attachment({"key": o["key"]}, lambda own, k: {"bits": bloom_aggregate(own(k("key")), hashes)}, value)
+    return Attachment({"key": o["key"]}, lambda own, k: {"bits": bloom_aggregate(own(k("key")), hashes, maps)}, value)
 
 
 @attachment("histo")

@@ -83,8 +83,8 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY mode ORDER BY q) AS until, sum(n) OVER
 SELECT mode, min(q) FILTER (until >= round(t * 0.25)) AS "p0.25", min(q) FILTER (until >= round(t * 0.5)) AS "p0.5", max(t)::BIGINT AS total FROM c GROUP BY mode""")
 ops("histogram", "orders", ["cast(o_totalprice as bigint) as v"], "histo=0", "SELECT pow(10, floor(log10(trunc(o_totalprice)) + 1e-12))::BIGINT AS bucket, count(*) AS count FROM orders WHERE trunc(o_totalprice) >= 1 GROUP BY 1")
 ops("histogram_of_bounds", "lineitem", ["cast(l_quantity as bigint) as q"], "histo2=0,10,20,100", """
-WITH b AS (SELECT unnest([-9223372036854775808, 10, 20, 100]::BIGINT[]) AS bucket), v AS (SELECT trunc(l_quantity)::BIGINT AS q FROM lineitem),
-c AS (SELECT CASE WHEN q >= 100 THEN 100 WHEN q >= 20 THEN 20 WHEN q >= 10 THEN 10 ELSE -9223372036854775808 END::BIGINT AS bucket, count(*) AS n FROM v GROUP BY 1)
+WITH b AS (SELECT unnest([-2147483648, 10, 20, 100]::BIGINT[]) AS bucket), v AS (SELECT trunc(l_quantity)::BIGINT AS q FROM lineitem),
+c AS (SELECT CASE WHEN q >= 100 THEN 100 WHEN q >= 20 THEN 20 WHEN q >= 10 THEN 10 ELSE -2147483648 END::BIGINT AS bucket, count(*) AS n FROM v GROUP BY 1)
 SELECT bucket, coalesce(n, 0)::BIGINT AS count FROM b LEFT JOIN c USING (bucket)""")
 ops("distribution", "orders", ["o_custkey as v"], "distribution=0", """
 WITH s AS (SELECT o_custkey AS v, row_number() OVER (ORDER BY o_custkey) AS r FROM orders), n AS (SELECT count(*) AS n FROM orders),

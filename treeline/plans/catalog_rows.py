@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.functions.sketches import bloom_maps, in_bloom
 from treeline.functions.value_filters import Value, filtered
 from treeline.operators.registry import run
 from treeline.plans import tree as trees
@@ -118,6 +119,18 @@ def filter_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", filtered(Value(F.col("o_orderpriority")), {"op": "seen", "bloom": known}).c.alias("o_orderpriority")).filter("o_orderpriority IS NOT NULL")
 
 
+@query("attachment_bloom_sized", "SELECT 'all' AS c0, count(DISTINCT o_custkey) AS held, true AS few FROM orders")
+def attachment_bloom_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter sized for its values holds them all, and few of as many others."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey")
+    tree = trees.built(orders, [{"const": "all", "data": {"b": {"type": "bloom", "key": "o_custkey", "max": 100_000, "error": 0.01}}}])
+    bloom = tree.nodes.select(F.col("`b.bits`").alias("bits"))  # one row
+    asked = orders.distinct().select("o_custkey").unionAll(orders.distinct().select(-F.col("o_custkey") - 1)).crossJoin(F.broadcast(bloom))
+    passed = asked.filter(in_bloom(F.col("bits"), F.col("o_custkey"), 4, bloom_maps(100_000, 0.01, 4)))
+    counts = passed.agg(F.count_if(F.col("o_custkey") >= 0).alias("held"), F.count_if(F.col("o_custkey") < 0).alias("wrong"))
+    return counts.select(F.lit("all").alias("c0"), "held", (F.col("wrong") <= 0.03 * F.col("held")).alias("few"))
+
+
 @query("filter_eval", "SELECT n_nationkey, n_name || '!' AS loud FROM nation")
 def filter_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", filtered(Value(F.col("n_name")), {"op": "python", "body": lambda v: v + "!"}).c.alias("loud"))
