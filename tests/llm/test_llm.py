@@ -253,6 +253,18 @@ def test_html_extraction(spark):
     assert html.extracted(df.limit(0)).collect() == []
 
 
+def test_html_differencing_decides_without_an_article_element(spark):
+    """Big plain templates, short articles, a copy among the neighbours, text beside an article element."""
+    template = [f"Template line {k} of the site" for k in range(30)]
+    page = lambda *own: "".join(f"<div>{x}</div>" for x in [*template[:20], *own, *template[20:]])
+    data = [(k, f"http://a.org/n/{k}", page(f"Only line of page {k}")) for k in range(6)]
+    data += [(10, "http://b.org/n/1", page("Copied text")), (11, "http://b.org/n/1b", page("Copied text")), (12, "http://b.org/n/2", page("Another text"))]
+    data += [(20 + k, f"http://c.org/{k}", f"<h1>Headline {k}</h1><div>Same teaser</div><article><p>Body {k}</p></article><div>Same end</div>") for k in range(2)]
+    data += [(None, "http://a.org/n/x", page("Nameless"))]
+    got = {(r.page_id, r.text) for r in html.extracted(spark.createDataFrame(data, "page_id long, url string, html string")).collect() if r.page_id != 10}  # 10 has a copy for its only neighbour
+    assert got == {*((k, f"Only line of page {k}") for k in range(6)), (11, "Copied text"), (12, "Another text"), *((20 + k, f"Headline {k}\nBody {k}") for k in range(2)), (None, "Nameless")}
+
+
 # --- 6 ---------------------------------------------------------------------
 
 

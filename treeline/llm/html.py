@@ -192,16 +192,21 @@ def _lengths(a: list[str], b: list[str]) -> list[int]:
 
 
 def main_text(texts: list[str], zones: list[int], neighbours: list[tuple[list[str], list[int]]]) -> str:
-    """The page's text without template lines. ``neighbours``: nearest first; the first that isn't a copy is used."""
-    own = {t for t, z in zip(texts, zones, strict=True) if z != IN_BOILER}
+    """The page's text without template lines. ``neighbours``: nearest first; the first that isn't a copy is used.
+
+    A copy has the same article: four fifths of the lines of the article or main element, or, on pages without one, all lines.
+    Lines of that element stay; lines in neither it nor menus, adverts and the like stay if the neighbour lacks them.
+    """
     drop = [False] * len(texts)
     for other, other_zones in neighbours:
-        theirs = {t for t, z in zip(other, other_zones, strict=True) if z != IN_BOILER}
-        if len(own & theirs) < 0.8 * max(1, min(len(own), len(theirs))):
+        ours, theirs = ({t for t, z in zip(*page, strict=True) if z == IN_MAIN} for page in ((texts, zones), (other, other_zones)))
+        share = 0.8
+        if not ours or not theirs:
+            ours, theirs, share = *({t for t, z in zip(*page, strict=True) if z != IN_BOILER} for page in ((texts, zones), (other, other_zones))), 1.0
+        if len(ours & theirs) < share * max(1, min(len(ours), len(theirs))):
             drop = shared_lines(texts, other)
             break
-    has_main = IN_MAIN in zones
-    keep = [z == IN_MAIN if has_main else z == PLAIN and not d for z, d in zip(zones, drop, strict=True)]
+    keep = [z == IN_MAIN or z == PLAIN and not d for z, d in zip(zones, drop, strict=True)]
     return "\n".join(t for t, k in zip(texts, keep, strict=True) if k)
 
 
@@ -264,7 +269,7 @@ def extracted(pages: DataFrame, runs_per_partition: int = 8) -> DataFrame:
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by
     one newline. Null and empty html gives an empty text. A null URL has the host "" and is paired like
-    others; a null page_id sorts first. A page alone on its host has no neighbour, only the check of the
+    others; a null page_id sorts first. A page alone on its host, or whose two neighbours are copies of it, has only the check of the
     markup. Repeated rows are repeated in the result. Only page_id, url and html are read. An empty table
     gives an empty result. The driver holds a fixed number of run borders, never pages.
     """
