@@ -91,6 +91,26 @@ def test_suffix_dedup_deals_hot_triggers_by_string(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans) // 2, bytes(r.kept)) for r in got) == sorted(removed_by_brute_force(data))
 
 
+def test_suffix_dedup_of_triggers_that_are_hot_in_a_chunk(spark, monkeypatch):
+    """Chunks settle what they can; marks of hot triggers make other chunks deal theirs by string, too."""
+    data = [(k, prose(9, k) + " " + PASSAGE[: 60 + k % 40] + prose(9, -k)) for k in range(60)]
+    data += [(60 + k, data[k % 7][1]) for k in range(30)] + [(200 + k, prose(5, k) + PASSAGE) for k in range(3)]
+    for chunk, most in ((600, 1), (2000, 2), (12_000_000, 3)):
+        monkeypatch.setattr(suffix, "_CHUNK", chunk)
+        monkeypatch.setattr(suffix, "CHUNK_PHRASES", most)
+        df = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+        got = suffix.removals(df).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans) // 2, bytes(r.kept)) for r in got) == sorted(removed_by_brute_force(data))
+
+
+def test_a_chunk_sends_equal_phrases_once():
+    trigger, phrase = np.array([5, 5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 3, 1], np.uint64)
+    repeat, hot, mark = suffix._settled(trigger, phrase, 2)
+    assert repeat.tolist() == [False, False, True, False, False]
+    assert hot.tolist() == [True] * 4 + [False] and mark.tolist() == [True, False, False, False, False]
+    assert not suffix._settled(trigger, phrase, 3)[1].any()
+
+
 def test_suffix_dedup_of_nothing(none):
     assert suffix.removals(none).collect() == []
 
