@@ -224,3 +224,30 @@ def test_reservoir(spark):
     assert got[:4] == [30 - (10.5 + 2 * spread), 30, 10.5, spread]
     assert trees.query(t, "+$+r=epoch||4~obs||3~mode||sigma~sigma||2").shown().first()[1] is None
     assert trees.query(t, "+$+r=epoch||5~obs||4~mode||modelfit~percentile||95").shown().first()[1][5] > 99
+
+
+def test_date_macros():
+    from datetime import datetime, timezone
+
+    from treeline.functions.dates import expanded
+
+    now = datetime(2024, 3, 1, 1, 30, tzinfo=timezone.utc)
+    assert expanded("a/{{now}}/{{now-1}}/b", now) == "a/240301/240229/b"
+    assert expanded("{{now-2h}} {{now+1::yyyy-MM-dd}} {{now-2h::HH:America/New_York}}", now) == "24022923 2024-03-02 18"
+    with pytest.raises(ValueError):
+        expanded("{{now::EEE}}", now)
+
+
+def test_levels_with_limit_null_and_default_before_the_name():
+    level = trees.decoded("(2-5)~+[none|3]a,b{x}:+hits>2")[0]
+    assert (level["limit"], level["null_ok"], level["default"], level["match"], level["label"]) == ((2, 5), True, ("none", 3), "a,b", "x")
+    assert trees.decoded("+%[none]top:+hits")[0]["match"] == "%top" and trees.decoded("+*(3)")[0]["limit"] == (0, 3)
+
+
+def test_default_of_virtual_nodes(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", None)], "k string, v string")
+    t = trees.built(df, [{"field": "k", "data": {"top": {"type": "top", "size": 1}}}, {"field": "v"}])
+    got = trees.query(t, "+/+%[none|5]top:+hits").plain().collect()
+    assert sorted(map(tuple, got)) == [("a", "x", 2), ("b", "none", 5)]
+    with pytest.raises(ValueError):
+        trees.query(t, "+[none]x/+")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,3 +56,26 @@ def written(millis: Column, pattern: str, zone: str = "UTC") -> Column:
             value = {"x": F.extract(F.lit("YEAROFWEEK"), stamp), "w": F.weekofyear(stamp), "e": F.extract(F.lit("DAYOFWEEK_ISO"), stamp), "C": F.floor(F.year(stamp) / 100)}[kind]
             pieces.append(F.lpad(value.cast("string"), len(text), "0") if len(text) > 1 else value.cast("string"))
     return pieces[0] if len(pieces) == 1 else F.concat(*pieces)
+
+
+#: {{now}}, {{now-1}} (days), {{now+2h}} (hours), each with ::pattern and :zone if wanted.
+_NOW = re.compile(r"\{\{now(?:([+-]\d+)(h)?)?(?:::(.+?))?(?::(.+?))?\}\}")
+_STRFTIME = {"yyyy": "%Y", "YYYY": "%Y", "yy": "%y", "YY": "%y", "MM": "%m", "dd": "%d", "HH": "%H", "mm": "%M", "ss": "%S", "DDD": "%j"}
+
+
+def expanded(text: str, now: datetime | None = None) -> str:
+    """Text with the dates for {{now}}: yyMMdd, with hours yyMMddHH, or as the pattern says; UTC unless a zone is named."""
+
+    def date(m: re.Match) -> str:
+        at = (now or datetime.now(ZoneInfo("UTC"))).astimezone(ZoneInfo(m[4] or "UTC"))
+        at = (at.astimezone(ZoneInfo("UTC")) + timedelta(hours=int(m[1]))).astimezone(at.tzinfo) if m[2] else at + timedelta(days=int(m[1] or 0))
+        pattern = m[3] or ("yyMMddHH" if m[2] else "yyMMdd")
+
+        def piece(letters: re.Match) -> str:
+            if letters[0] not in _STRFTIME:
+                raise ValueError(f"no date letters {letters[0]!r} in {text!r}")
+            return at.strftime(_STRFTIME[letters[0]])
+
+        return re.sub(r"([A-Za-z])\1*", piece, pattern)
+
+    return _NOW.sub(date, text)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from treeline.plans.rows import N, P, Rows
 
-ORDERED = {"count", "serial", "band-pass", "key-sieve"}
+ORDERED = {"count", "serial", "band-pass", "key-sieve", "key-sieve2", "limit-upper"}
 
 
 def occurrence(rows: Rows, value: Column) -> tuple[Rows, Column]:
@@ -44,7 +44,12 @@ def ordered(rows: Rows, field: str, spec: dict) -> tuple[Rows, Column]:
         return rows, F.concat(F.lit(o.get("prefix", "")), text)
     value = rows.col(field)
     rows, seen = occurrence(rows, value.cast("string"))
-    least, most = (o.get("minHits", 0), o.get("maxHits", 0)) if spec["op"] == "band-pass" else (o.get("tiers", 1), 0)
+    if spec["op"] == "band-pass":
+        least, most = o.get("minHits", 0), o.get("maxHits", 0)
+    elif spec["op"] == "limit-upper":  # the first so many of each value; with ``upper`` false all but those
+        least, most = (0, o["limit"]) if o.get("upper", True) else (o["limit"], 0)
+    else:
+        least, most = o.get("tiers", 1), 0
     keep = (seen >= least) if least else F.lit(True)
     keep = keep & (seen < most) if most else keep
     keep = keep | value.cast("string").isin(o["whitelist"]) if o.get("whitelist") else keep

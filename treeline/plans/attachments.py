@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,7 @@ class Attachment:
     nodes: Callable[[Callable[[str], Column], str], Column] | None = None
     merges: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
     recent: int = 0  # if not 0, the tree adds a buffer ``recent``: the counts of the key's last so many whole numbers
+    children: Callable[[DataFrame], DataFrame] | None = None  # from (path, name, hits) of all children, (path, children): few a node
     top: int = 0  # if not 0, the tree adds a buffer ``top``: so many most frequent values of the key, with their counts
 
 
@@ -211,21 +212,29 @@ def _bloom(o):
 @attachment("histo")
 def _histo(o):
     """Counts of the children's hits by powers of ``scale``; read with ``%name``."""
-    return Attachment({}, lambda own, k: {}, lambda b, x: F.size(_powers(b, int(o.get("scale", 10)))).cast("long"), lambda b, x: _powers(b, int(o.get("scale", 10))))
+    scale = int(o.get("scale", 10))
 
+    def powers(below: DataFrame) -> DataFrame:
+        tier = F.pow(F.lit(scale), F.floor(F.log(F.col("hits").cast("double")) / F.log(F.lit(float(scale))) + 1e-9)).cast("long")
+        counts = below.groupBy("path", tier.alias("tier")).agg(F.count("*").alias("hits"))
+        listed = F.array_sort(F.collect_list(F.struct("tier", "hits")))
+        return counts.groupBy("path").agg(F.transform(listed, lambda x: F.struct(x["tier"].cast("string").alias("name"), x["hits"].alias("hits"))).alias("children"))
 
-def _powers(b, scale: int) -> Column:
-    base = lambda h: F.pow(F.lit(scale), F.floor(F.log(h) / F.log(F.lit(float(scale))) + 1e-9)).cast("long")
-    tiers = F.transform(b("children"), lambda c: base(c["hits"].cast("double")))
-    return F.transform(F.array_sort(F.array_distinct(tiers)), lambda t: F.struct(t.cast("string").alias("name"), F.size(F.filter(tiers, lambda x: x == t)).cast("long").alias("hits")))
+    return Attachment({}, lambda own, k: {}, lambda b, x: F.size(b("children")).cast("long"), lambda b, x: b("children"), children=powers)
 
 
 @attachment("top", "limit.top", "limit.hot")
 def _top(o):
-    """The children of the most hits, ties by name: ``size`` of them, as nodes."""
+    """The children of the most hits, ties by name: ``size`` of them, as nodes. Ranks are cut before they are shuffled."""
     size = int(o.get("size", 10))
-    top = lambda b: F.slice(F.array_sort(b("children"), lambda x, y: F.when(x["hits"] > y["hits"], -1).when(x["hits"] < y["hits"], 1).when(x["name"] < y["name"], -1).otherwise(1)), 1, size)
-    return Attachment({}, lambda own, k: {}, lambda b, x: F.get(top(b), F.lit(0))["name"], lambda b, x: top(b))
+
+    def first(below: DataFrame) -> DataFrame:
+        order = Window.partitionBy("path").orderBy(F.desc("hits"), "name")
+        best = below.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= size)
+        listed = F.array_sort(F.collect_list(F.struct("r", "name", "hits")))
+        return best.groupBy("path").agg(F.transform(listed, lambda x: F.struct(x["name"].alias("name"), x["hits"].alias("hits"))).alias("children"))
+
+    return Attachment({}, lambda own, k: {}, lambda b, x: F.get(b("children"), F.lit(0))["name"], lambda b, x: b("children"), children=first)
 
 
 @attachment("reservoir")

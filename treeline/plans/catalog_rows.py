@@ -5,6 +5,8 @@ Where a result is a small fixed table, its SQL lists the rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -286,3 +288,55 @@ def attachment_reservoir(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = trees.built(orders, [{"field": "o_orderstatus", "data": {"r": {"type": "reservoir", "epochField": "epoch", "size": 3}}}])
     return trees.query(tree, "+/+%r:+hits").plain()
 
+
+
+@query("path_default", "WITH n AS (SELECT o_orderpriority AS p, count(*) AS hits FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 7 = 0 AND o_custkey < 300 GROUP BY 1) SELECT p AS c0, coalesce(n.p IS NOT NULL, false) AS found, CASE WHEN n.p IS NULL THEN 'none' ELSE 'P' END AS c1, coalesce(n.hits, 7) AS hits FROM (SELECT DISTINCT o_orderpriority AS p FROM orders WHERE o_custkey % 7 = 0 AND o_custkey < 300) LEFT JOIN n USING (p)")
+def path_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where no node matches, the default stands."""
+    orders = table(spark, sf_dir, "orders").filter("o_custkey % 7 = 0 AND o_custkey < 300")
+    rows = trees.query(trees.built(orders, ["o_orderpriority", "o_orderstatus"]), "+/+[none|7]P:+hits").plain()
+    return rows.select("c0", (F.col("c1") != "none").alias("found"), "c1", "hits")
+
+
+@query("path_default_of_nothing", "SELECT 'none' AS c0, 0::BIGINT AS hits")
+def path_default_of_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.query(_status_tree(spark, sf_dir), "+[none]no such priority:+hits").plain()
+
+
+@query("path_null_ok", "SELECT o_orderpriority AS c0, CASE WHEN count(*) > 5 * (SELECT count(*) FROM orders) // 25 THEN count(*) END AS hits FROM orders GROUP BY 1")
+def path_null_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With ~ a node that a bound refuses stays, without the value."""
+    least = 5 * table(spark, sf_dir, "orders").count() // 25
+    return trees.query(_status_tree(spark, sf_dir), f"~+:+hits>{least}").plain()
+
+
+@query("path_limit_before_name", "SELECT p AS c0, hits FROM (SELECT o_orderpriority AS p, count(*) AS hits, row_number() OVER (ORDER BY o_orderpriority) AS r FROM orders GROUP BY 1) WHERE r BETWEEN 2 AND 3")
+def path_limit_before_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.query(_status_tree(spark, sf_dir), "(1-2)+:+hits").plain()
+
+
+@query("path_children_of_inner", "WITH n AS (SELECT o_orderpriority AS p, o_orderstatus AS s, count(*) AS hits FROM orders GROUP BY ALL) SELECT p AS c0, s AS c1, first_value(s) OVER (PARTITION BY p ORDER BY hits DESC, s) AS best FROM n")
+def path_children_of_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an inner level keeps of its children, on the rows of a level below."""
+    tree = trees.built(table(spark, sf_dir, "orders"), [{"field": "o_orderpriority", "data": {"top": {"type": "top", "size": 2}}}, {"field": "o_orderstatus"}])
+    rows = trees.query(tree, "+$+top/+").plain()
+    return rows.select("c0", F.col(rows.columns[2]).alias("c1"), F.col(rows.columns[1]).alias("best"))
+
+
+bundles("bundle_limit_upper", "orders", ORDERS[:2], {"op": "field", "from": "o_custkey", "filter": {"op": "limit-upper", "limit": 2}}, "SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2", order=BY_KEY)
+bundles("bundle_key_sieve", "orders", ORDERS[:2], {"op": "field", "from": "o_custkey", "filter": {"op": "key-sieve2", "tiers": 2}}, "SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 2", order=BY_KEY)
+
+
+@query("encoded_html", "SELECT '<table border=1 cellpadding=1 cellspacing=0>' AS value UNION ALL SELECT concat('<tr><td>', r_regionkey, '</td><td>&lt;', r_name, '&gt;</td></tr>') FROM region UNION ALL SELECT '</table>'")
+def encoded_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "region").select("r_regionkey", F.concat(F.lit("<"), "r_name", F.lit(">")).alias("r_name"))
+    return encoded(df, "html", header=True)
+
+
+@query("sink_field_folders", "SELECT o_orderstatus, year(o_orderdate)::INTEGER AS y, count(*) AS n FROM orders GROUP BY ALL")
+def sink_field_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files below a folder for each state and year, read back."""
+    to = f"{shared_dir(spark)}/folders-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").alias("y"))
+    write(orders.repartition("o_orderstatus", "y"), {"type": "file", "path": to + "/{{o_orderstatus}}/{{y}}"})
+    return spark.read.parquet(to).groupBy("o_orderstatus", "y").agg(F.count("*").alias("n"))

@@ -21,6 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written and read again. The table is deleted when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    sc = df.sparkSession.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
     return df.sparkSession.read.schema(df.schema).parquet(path)

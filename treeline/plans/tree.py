@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from treeline.functions.dates import expanded
 from treeline.functions.value_filters import Value, filtered
 from treeline.plans.attachments import NODE, OF_CHILDREN, Attachment, made
 from treeline.plans.rows import Rows
@@ -252,7 +253,8 @@ class _Level:
     properties: list[tuple[str, bool, list[tuple[str, int]]]] = field(default_factory=list)
     data: list[tuple[str, str, bool, bool]] = field(default_factory=list)  # attachment, option, collected, size
     up: bool = False
-    null_ok: bool = False
+    null_ok: bool = False  # rows stay where a property or attachment has no value
+    default: tuple[str, int] | None = None  # name and hits of the node that stands where none matches
 
 
 _PROPERTY = re.compile(r"(\+?)(hits|count|nodes|name|json|mem)((?:[<>=]+\d+)*)")
@@ -261,6 +263,11 @@ _PROPERTY = re.compile(r"(\+?)(hits|count|nodes|name|json|mem)((?:[<>=]+\d+)*)")
 def _parse_level(text: str) -> _Level:
     out = _Level(text)
     rest = text
+    if m := re.match(r"\((\d+)(?:-(\d+))?\)(?=.)", rest):
+        out.limit = (int(m[1]), int(m[2])) if m[2] else (0, int(m[1]))
+        rest = rest[m.end() :]
+    if rest.startswith("~"):
+        out.null_ok, rest = True, rest[1:]
     if "$" in rest and not rest.startswith("$$"):
         rest, _, data = rest.partition("$")
         for d in data.split(","):
@@ -281,6 +288,9 @@ def _parse_level(text: str) -> _Level:
         rest = rest[: m.start()]
     if rest.endswith("~"):
         out.null_ok, rest = True, rest[:-1]
+    if m := re.match(r"\+(%?)\[([^\]|]*)(?:\|(\d+))?\]", rest):
+        out.default = (m[2], int(m[3] or 0))
+        rest = f"+{m[1]}{rest[m.end() :]}"
     if m := re.search(r"\{([^}]*)\}", rest):
         out.label = m[1]
         rest = rest[: m.start()] + rest[m.end() :]
@@ -339,12 +349,25 @@ def _virtual(tree: Tree, name: str, option: str) -> tuple[Column, bool]:
     a = tree.attachments[name]
     if a.nodes is None:
         raise ValueError(f"attachment {name!r} has no nodes")
-    return a.nodes(lambda suffix: F.col("children") if suffix == "children" else F.col(f"`{name}.{suffix}`"), option), name in tree.of_children
+    return a.nodes(lambda suffix: F.col(f"`{name}.{suffix}`"), option), name in tree.of_children
+
+
+def _children(tree: Tree, name: str, nodes: DataFrame, at: int, to: str, how: str) -> DataFrame:
+    """``nodes`` with what an attachment keeps of the children of their part of ``at`` levels, in a column ``to``."""
+    below = tree.nodes.filter(F.col("depth") == at + 1).select(F.slice("path", F.lit(1), F.lit(at)).alias("path"), "name", "hits")
+    kept = tree.attachments[name].children(below).select(F.col("path").alias("__of"), F.col("children").cast(T.ArrayType(NODE)).alias(to))
+    return nodes.join(kept, F.slice("path", F.lit(1), F.lit(at)) == F.col("__of"), how).drop("__of")
 
 
-def _children(tree: Tree) -> DataFrame:
-    """path, children of each node that has some; only read for attachments of children."""
-    return tree.nodes.filter("depth > 1").select(F.slice("path", F.lit(1), F.col("depth") - 1).alias("path"), F.struct("name", "hits").alias("c")).groupBy("path").agg(F.collect_list("c").cast(T.ArrayType(NODE)).alias("children"))
+def _with_default(tree: Tree, nodes: DataFrame, x: _Level, depth: int) -> DataFrame:
+    """The nodes that match the last level, and the default node under each parent where none does."""
+    name, hits = x.default
+    own = nodes.filter(_test(x.match, F.get("path", F.lit(depth - 1))))
+    root = tree.nodes.sparkSession.range(1).select(F.array().cast("array<string>").alias("path"))
+    parents = tree.nodes.filter(F.col("depth") == depth - 1).select("path") if depth > 1 else root
+    bare = parents.join(own.select(F.slice("path", F.lit(1), F.lit(depth - 1)).alias("path")).distinct(), "path", "left_anti")
+    stand = bare.select(F.array_append("path", F.lit(name)).alias("path"), F.lit(depth).alias("depth"), F.lit(name).alias("name"), F.lit(hits).cast("long").alias("hits"), F.lit(0).cast("long").alias("nodes"))
+    return own.unionByName(stand, allowMissingColumns=True)
 
 
 def decoded(path: str) -> list[dict]:
@@ -359,7 +382,8 @@ def encoded(elements: list[dict]) -> str:
 
 def query(tree: Tree, path: str | list[str], ops: str = "", rops: str = "") -> Rows:
     """Rows of a path query, in order of path, through ``rops`` and then ``ops``. Several paths are put together, by
-    position of their columns; ``rops`` then work on each path's rows."""
+    position of their columns; ``rops`` then work on each path's rows. Dates such as {{now-1}} are those of the driver's clock.
+    A level is ``(skip-limit)~name:properties$attachments``; ``+[name|hits]`` stands for a last level that has no match."""
     from treeline.operators.registry import run
 
     if isinstance(path, list):
@@ -372,13 +396,17 @@ def query(tree: Tree, path: str | list[str], ops: str = "", rops: str = "") -> R
         rows = Rows(out, names, (("__k0", True),))
         return run(rows, ops) if ops else rows
 
-    levels = [x for x in _levels(path)]
+    levels = _levels(expanded(path))
     places: list[Column] = []  # the sort key of each level: the name, or its place in a list
     virtual = None
     if levels and levels[-1].match.startswith("%"):
         virtual = levels.pop()
     depth = len([x for x in levels if not x.up])
     nodes = tree.nodes.filter(F.col("depth") == depth)
+    if any(x.default and (x is not levels[-1] or x.match[:2] == "@@") for x in levels):
+        raise ValueError("a default stands for a last level of names")
+    if levels and levels[-1].default:
+        nodes = _with_default(tree, nodes, levels[-1], depth)
     at = 0
     columns: dict[str, Column] = {}
 
@@ -403,7 +431,7 @@ def query(tree: Tree, path: str | list[str], ops: str = "", rops: str = "") -> R
             for k, p in enumerate(other):
                 inside = inside.filter(_test(p, F.get("path", F.lit(k))))
             nodes = nodes.withColumn("__n", name).join(inside.select(F.col("name").alias("__n")).distinct(), "__n", "left_semi").drop("__n")
-        else:
+        elif not x.default:
             nodes = nodes.filter(_test(x.match, name))
         if x.limit:
             parent = Window.partitionBy(F.slice("path", F.lit(1), F.lit(at - 1))).orderBy(name)
@@ -414,14 +442,17 @@ def query(tree: Tree, path: str | list[str], ops: str = "", rops: str = "") -> R
             inner = tree.nodes.filter(F.col("depth") == at)
             inner = inner.select(F.col("path").alias("__up"), *[F.col(f"`{c}`").alias(f"__{at}_{c}") for c in inner.columns if c != "path"])
             nodes = nodes.join(inner, F.slice("path", F.lit(1), F.lit(at)) == F.col("__up")).drop("__up")
-            nodes = _read(tree, nodes, x, f"__{at}_", columns, label)
+            nodes = _read(tree, nodes, x, f"__{at}_", at, columns, label)
         elif x.properties or x.data:
-            nodes = _read(tree, nodes, x, "", columns, label)
+            nodes = _read(tree, nodes, x, "", at, columns, label)
     if virtual is not None:
         name, _, option = virtual.match[1:].partition("=")
         listed, of_children = _virtual(tree, name, option)
         if of_children:
-            nodes = nodes.join(_children(tree), "path")
+            nodes = _children(tree, name, nodes, depth, f"{name}.children", "left" if virtual.default else "inner")
+        if virtual.default:
+            stand = F.array(F.struct(F.lit(virtual.default[0]).alias("name"), F.lit(virtual.default[1]).cast("long").alias("hits")))
+            listed = F.when(F.size(listed) > 0, listed).otherwise(stand)
         nodes = nodes.select("*", F.posexplode(listed).alias("__at", "__v"))
         if virtual.collect:
             columns[label(virtual.label, f"c{len(columns)}")] = F.col("__v.name")
@@ -441,32 +472,40 @@ def query(tree: Tree, path: str | list[str], ops: str = "", rops: str = "") -> R
 
 def _bounded(nodes: DataFrame, value: Column, tests: list[tuple[str, int]]) -> DataFrame:
     """Bounds are alternatives: a node stays if it meets any of them."""
-    if not tests:
-        return nodes
-    keep = F.lit(False)
+    return nodes.filter(_within(value, tests)) if tests else nodes
+
+
+def _within(value: Column, tests: list[tuple[str, int]]) -> Column:
+    keep = F.lit(not tests)
     for sign, n in tests:
         keep = keep | {">": value > n, "<": value < n, "=": value == n, ">=": value >= n, "<=": value <= n}[sign]
-    return nodes.filter(keep)
+    return keep
 
 
-def _read(tree: Tree, nodes: DataFrame, x: _Level, prefix: str, columns: dict[str, Column], label) -> DataFrame:
+def _read(tree: Tree, nodes: DataFrame, x: _Level, prefix: str, at: int, columns: dict[str, Column], label) -> DataFrame:
+    """Rows that a bound refuses go, or stay with null where nulls are allowed; so do rows without an attachment's value
+    that isn't collected. Collected values may be null."""
     get = lambda c: F.col(f"`{prefix}{c}`")
     for prop, collected, tests in x.properties:
         value = {"hits": lambda: get("hits"), "count": lambda: get("hits"), "nodes": lambda: get("nodes"), "name": lambda: get("name"), "mem": lambda: F.lit(0).cast("long"), "json": lambda: F.to_json(F.struct(get("name").alias("name"), get("hits").alias("hits"), get("nodes").alias("nodes")))}[prop]()
-        nodes = _bounded(nodes, value, tests)
+        if x.null_ok:
+            value = F.when(_within(value, tests), value)
+        else:
+            nodes = _bounded(nodes, value, tests)
         if collected:
             columns[label(x.label if not x.collect else None, prop)] = value
     for name, option, collected, size in x.data:
         a = tree.attachments[name]
         if name in tree.of_children:
-            nodes = nodes if "children" in nodes.columns else nodes.join(_children(tree), "path", "left")
+            own = f"{prefix}{name}.children"
+            nodes = nodes if own in nodes.columns else _children(tree, name, nodes, at, own, "left")
         buffers = [c for c in tree.nodes.columns if c.startswith(f"{name}.")]
         if size:
             value = sum((F.length(F.to_json(F.struct(get(b)))) for b in buffers[1:]), F.length(F.to_json(F.struct(get(buffers[0])))))
         else:
-            value = a.value(lambda suffix, n=name: F.col("children") if suffix == "children" else get(f"{n}.{suffix}"), option)
+            value = a.value(lambda suffix, n=name: get(f"{n}.{suffix}"), option)
         if collected:
             columns[label(None, f"{name}_{option}" if option else name)] = value
-        else:
+        elif not x.null_ok:
             nodes = nodes.filter(value.isNotNull())
     return nodes

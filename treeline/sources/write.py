@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -27,7 +28,10 @@ def write(df: DataFrame, config: dict) -> None:
 
 @sink("file", "files")
 def _file(df, path, format="parquet", partitionBy=None, mode="overwrite", options=None, maxRecords=0):  # noqa: A002, N803
-    """Files of a format; ``partitionBy``: a folder for each value. No file holds more than ``maxRecords`` rows."""
+    """Files of a format; ``partitionBy``: a folder for each value. No file holds more than ``maxRecords`` rows. Fields in
+    the path, such as ``out/{{day}}/{{host}}``, are folders by value, too: what stands before the first is the path."""
+    if fields := re.findall(r"\{\{(\w+)\}\}", path):
+        path, partitionBy = path.partition("{{")[0].rpartition("/")[0], [*fields, *(partitionBy or [])]  # noqa: N806
     if format == "column":
         options, format = {"sep": "\t"} | (options or {}), "csv"  # noqa: A001
     w = df.write.mode(mode).format(format).options(**(options or {}))
@@ -106,7 +110,20 @@ def _http(df, url, batchSize=1000, retries=3):  # noqa: N803
 
 def encoded(df: DataFrame, format: str = "csv2", header: bool = False) -> DataFrame:  # noqa: A002
     """Rows as lines of text: ``json``, or ``csv2``, ``psv2``, ``tsv2`` (comma, bar, tab; texts that hold the delimiter, a
-    quote or a line break stand in quotes, quotes doubled; nulls are empty). One column, ``value``."""
+    quote or a line break stand in quotes, quotes doubled; nulls are empty), or ``html`` (the rows of a table, markup
+    escaped, nulls as ``null``). One column, ``value``."""
+    if format == "html":
+
+        def data(c: str):
+            text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null"))
+            for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+                text = F.replace(text, F.lit(sign), F.lit(name))
+            return F.concat(F.lit("<td>"), text, F.lit("</td>"))
+
+        rows = df.select(F.concat(F.lit("<tr>"), *[data(c) for c in df.columns], F.lit("</tr>")).alias("value"))
+        one = df.sparkSession.range(1)
+        head, tail = (one.select(F.lit(x).alias("value")) for x in ("<table border=1 cellpadding=1 cellspacing=0>", "</table>"))
+        return head.unionByName(rows).unionByName(tail) if header else rows
     if format == "json":
         return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
     by = {"csv2": ",", "psv2": "|", "tsv2": "\t"}[format]
