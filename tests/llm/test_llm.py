@@ -337,7 +337,7 @@ def test_representatives_keep_one_each(docs, none):
 
 
 def test_representatives_go_by_similarity(spark, docs):
-    """Edited copies (five-word Jaccard of 0.8 or more) go, texts less alike stay; as many shards as rows change nothing."""
+    """Edited copies (five-word Jaccard of 0.8 or more) go, texts less alike stay; neither small parts nor the way of frequent shards change anything."""
 
     def own(t):
         w = (t or "").lower().split()
@@ -360,8 +360,8 @@ def test_representatives_go_by_similarity(spark, docs):
                 component = [component[b] if c == component[a] else c for c in component]
     least = {c: component.index(c) for c in component}
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for shard_rows in (2048, 2):
-        assert {r.doc_id: r.component_id for r in simhash.similar(df, shard_rows=shard_rows).collect()} == {k: least[c] for k, c in enumerate(component)}
+    for options in ({}, {"shard_rows": 2}, {"shard_rows": 2, "hot_rows": 3}):
+        assert {r.doc_id: r.component_id for r in simhash.similar(df, **options).collect()} == {k: least[c] for k, c in enumerate(component)}
     kept = {r.doc_id for r in simhash.representatives(df).collect()}
     assert kept == set(least.values()) and 12 <= len(kept) < len(texts) / 2
     assert {r.fingerprint for r in simhash.near_duplicates(df.limit(1)).collect()} == {f"{plain_fingerprint(texts[0]):016x}"}

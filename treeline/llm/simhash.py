@@ -29,6 +29,8 @@ from treeline.llm.graph import components
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: For near-duplicates by similarity; at 0.8 fingerprints differ in some 10 of 64 bits.
 SIMILAR_SHINGLE, LEAST, SIMILAR_RADIUS = 5, 0.8, 24
+#: Tasks over which the rows of a frequent shard are dealt.
+SALTS = 32
 
 
 def fingerprint(text: bytes, n: int = SHINGLE, seed: int = SEED) -> int:
@@ -248,11 +250,9 @@ def verified(values: np.ndarray, sets: list[np.ndarray], tree: np.ndarray, asked
     return links
 
 
-def _verified_links(held: DataFrame, radius: int, least: float, shard_rows: int, shard_bytes: int) -> DataFrame:
-    """Edges (a, b) between ids of ``held`` (id, fp, keys, own), whose rows meet in the shards of their keys."""
-    sizes = held.select(F.explode("keys").alias("key"), F.length("own").cast("long").alias("bytes")).groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    parts = F.greatest(F.ceil(F.col("n") / shard_rows), F.ceil(F.col("bytes") / shard_bytes), F.lit(1)).cast("int")
-    dealt = held.select("id", "fp", "own", F.explode("keys").alias("key")).join(sizes.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("id", "fp"), "parts").cast("int"))
+def _verified_links(held: DataFrame, radius: int, least: float) -> DataFrame:
+    """Edges (a, b) between ids of ``held`` (id, fp, keys, own), whose rows meet in the parts of the shards of their keys."""
+    dealt = held.select("id", "fp", "own", F.explode("keys").alias("k")).select("id", "fp", "own", "k.key", "k.parts").withColumn("part", F.pmod(F.xxhash64("id", "fp"), "parts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     keys = ["key", "i", "j"]
     cells = dealt.withColumn("other", other).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "fp", "own")
@@ -285,7 +285,21 @@ def _verified_links(held: DataFrame, radius: int, least: float, shard_rows: int,
     return cells.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "a long, b long").filter("a <> b")
 
 
-def similar(documents: DataFrame, least: float = LEAST, shingle: int = SIMILAR_SHINGLE, radius: int = SIMILAR_RADIUS, rows: int = 3, bands: int = 14, seed: int = SEED, shard_rows: int = 2048, shard_bytes: int = 32 << 20) -> DataFrame:
+def _of_shards(each: DataFrame, shards: DataFrame, hot_rows: int) -> DataFrame:
+    """``each`` (key and others) with the parts of its shard, without rows of other shards.
+
+    Shards above ``hot_rows`` are few: at most one for so many rows of ``each``. They meet the rows in a join of
+    their own, by broadcast while the table of them is small (spark.sql.autoBroadcastJoinThreshold), beyond it
+    dealt over ``SALTS`` tasks each. So no task gets more than ``hot_rows`` rows of a key it was dealt whole.
+    """
+    hot, _ = written(shards.filter(F.col("n") > hot_rows).select("key", F.col("parts").alias("hot_parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "hot-shards")
+    marked = each.withColumn("salt", F.pmod(F.xxhash64("id", "h1"), F.lit(SALTS)).cast("int")).join(hot, ["key", "salt"], "left").drop("salt")
+    few = shards.filter(F.col("n") <= hot_rows).select("key", "parts")
+    cold = marked.filter("hot_parts IS NULL").drop("hot_parts").join(few, "key")
+    return cold.unionByName(marked.filter("hot_parts IS NOT NULL").withColumnRenamed("hot_parts", "parts").select(cold.columns))
+
+
+def similar(documents: DataFrame, least: float = LEAST, shingle: int = SIMILAR_SHINGLE, radius: int = SIMILAR_RADIUS, rows: int = 3, bands: int = 14, seed: int = SEED, shard_rows: int = 2048, shard_bytes: int = 32 << 20, hot_rows: int = 65_536) -> DataFrame:
     """doc_id, component_id of every row of ``documents``: the smallest doc_id that links can reach.
 
     Rows are linked if the sets of their word shingles have a Jaccard similarity of at least ``least``. Each
@@ -302,16 +316,19 @@ def similar(documents: DataFrame, least: float = LEAST, shingle: int = SIMILAR_S
             for text in batch.column(1):
                 hashes = shingles(text.as_py().encode(), shingle, seed)
                 own = np.unique(hashes)
-                out.append((*_digest(own), np.uint64(majority(hashes)).view(np.int64), _bands(own, rows, bands) if len(own) else None))
-            h1, h2, fp, keys = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "fp", "keys"])
-
-    marked, _ = written(texts.mapInArrow(scan, "doc_id long, h1 long, h2 long, fp long, keys array<long>"), "sketches")
-    distinct, _ = written(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "distinct")
-    each = distinct.filter("id IS NOT NULL").select("id", "h1", "fp", F.explode("keys").alias("key"))
+                out.append((*_digest(own), np.uint64(majority(hashes)).view(np.int64), own.nbytes, _bands(own, rows, bands) if len(own) else None))
+            h1, h2, fp, sizes, keys = list(zip(*out, strict=True)) or [[]] * 5
+            whole = [pa.array(c, pa.int64()) for c in (h1, h2, fp, sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *whole, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "fp", "bytes", "keys"])
+
+    marked, _ = written(texts.mapInArrow(scan, "doc_id long, h1 long, h2 long, fp long, bytes long, keys array<long>"), "sketches")
+    distinct, _ = written(marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "bytes", "keys")]), "distinct")
+    each = distinct.filter("id IS NOT NULL").select("id", "h1", "fp", "bytes", F.explode("keys").alias("key"))
     # of shards that hold the same rows, one is searched
-    shards = each.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id", "h1")).alias("x"), F.bit_xor(F.xxhash64("h1", "id")).alias("y")).filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
-    wanted = each.join(shards.select("key"), "key").groupBy("id", "h1", "fp").agg(F.collect_set("key").alias("keys"))
+    held_by = each.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("id", "h1")).alias("x"), F.bit_xor(F.xxhash64("h1", "id")).alias("y")).filter("n > 1")
+    parts = F.greatest(F.ceil(F.col("n") / shard_rows), F.ceil(F.col("bytes") / shard_bytes), F.lit(1)).cast("int")
+    shards, shards_path = written(held_by.groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes")).select("key", "n", parts.alias("parts")), "shards")
+    wanted = _of_shards(each, shards, hot_rows).groupBy("id", "h1", "fp").agg(F.collect_set(F.struct("key", "parts")).alias("keys"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,9 +337,10 @@ def similar(documents: DataFrame, least: float = LEAST, shingle: int = SIMILAR_S
             out = pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x.tobytes() for x in own], pa.binary())], ["id", "h1", "fp", "keys", "own"])
             yield out.filter(pc.equal(same, batch.column(2)))
 
-    read = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("text", "id", "h1", "fp", "keys").mapInArrow(sets, "id long, h1 long, fp long, keys array<long>, own binary")
+    read = texts.join(wanted, texts["doc_id"] == wanted["id"]).select("text", "id", "h1", "fp", "keys").mapInArrow(sets, "id long, h1 long, fp long, keys array<struct<key:long,parts:int>>, own binary")
     held, path = written(read.groupBy("id", "h1", "fp").agg(F.first("keys").alias("keys"), F.first("own").alias("own")), "sets")
-    roots, _ = components(_verified_links(held, radius, least, shard_rows, shard_bytes))
+    removed(documents.sparkSession, shards_path)
+    roots, _ = components(_verified_links(held, radius, least))
     removed(documents.sparkSession, path)
     known = distinct.join(roots, distinct["id"] == roots["node"], "left").select("h1", "h2", F.coalesce("root", "id").alias("component_id"))
     return marked.select("doc_id", "h1", "h2").join(known, ["h1", "h2"]).select("doc_id", "component_id")
