@@ -344,13 +344,27 @@ def _hash(v, type=1, abs=False):  # noqa: A002
 
 
 @value_filter("split")
-def _split(v, split=",", keySplit=None, fixedLength=0):  # noqa: N803
-    if fixedLength:
-        return Value(F.regexp_extract_all(v.text, F.lit(f"(?s).{{1,{fixedLength}}}"), 0), A)
-    parts = F.split(v.text, "\\Q" + split + "\\E")
+def _split(v, split=",", keySplit=None, fixedLength=0, filter=None, keyFilter=None):  # noqa: A002, N803
+    """An array, or with ``keySplit`` a map: of equal keys the last counts, a part without the sign is key and value."""
+    parts = F.regexp_extract_all(v.text, F.lit(f"(?s).{{1,{fixedLength}}}"), 0) if fixedLength > 0 else F.split(v.text, "\\Q" + split + "\\E")
+    parts = F.when(v.text != "", parts)
+
+    def changed(text: Column, how) -> Column:
+        return text if how is None else filtered(Value(text, S), how).text
+
     if keySplit is None:
-        return Value(parts, A)
-    return Value(F.map_from_entries(F.transform(parts, lambda p: F.struct(F.split_part(p, F.lit(keySplit), F.lit(1)), F.split_part(p, F.lit(keySplit), F.lit(2))))), T.MapType(S, S))
+        return Value(parts if filter is None else F.transform(parts, lambda p: changed(p, filter)), A)
+
+    def entry(p: Column) -> Column:
+        at = F.instr(p, keySplit)
+        key = F.when(at > 0, F.substring(p, F.lit(1), at - 1)).otherwise(p)
+        value = F.when(at > 0, F.substring(p, at + len(keySplit), F.length(p))).otherwise(p)
+        return F.struct(changed(key, keyFilter).alias("key"), changed(value, filter).alias("value"))
+
+    entries = F.filter(F.transform(parts, entry), lambda e: e["key"].isNotNull())
+    backwards = F.reverse(entries["key"])
+    last = F.filter(entries, lambda e, i: F.array_position(backwards, e["key"]) == F.size(backwards) - i)
+    return Value(F.map_from_entries(last), T.MapType(S, S))
 
 
 @value_filter("create-map")

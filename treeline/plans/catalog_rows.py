@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from treeline.functions.sketches import bloom_maps, in_bloom
 from treeline.functions.value_filters import Value, filtered
@@ -248,6 +249,25 @@ def tree_keyop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.built(orders, elements, named={"low": ["o_orderpriority", {"debug": "x"}, "o_orderstatus"]}).nodes.select("path", "hits")
 
 
+@query(
+    "tree_value_options",
+    "WITH o AS (SELECT lower(o_orderstatus) AS s, o_orderpriority AS p FROM orders) SELECT path, sum(n)::BIGINT AS hits FROM (SELECT [s] AS path, 1 AS n FROM o UNION ALL SELECT [s, s], 1 FROM o UNION ALL SELECT [s, s, 'x'], 1 FROM o UNION ALL SELECT [s, s, p], 0 FROM o) GROUP BY path",
+)
+def tree_value_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    branches = [[{"field": "fixed", "term": True}, "o_orderkey"], [{"field": "o_orderpriority", "count": False}]]
+    elements = [{"field": "o_orderstatus", "vfilter": "case", "set": "low"}, {"const": "x", "op": True, "set": "fixed"}, {"field": "low"}, {"branch": branches}]
+    return trees.built(table(spark, sf_dir, "orders"), elements).nodes.select("path", "hits")
+
+
+@query("filter_split_map", "SELECT r_regionkey, 'b=' || r_name AS last, 'flag' AS alone, upper(substr(r_name, 1, 1)) AS first, 3 AS n FROM region")
+def filter_split_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of equal keys the last counts, values keep further signs, a part without the sign is key and value."""
+    text = F.concat(F.lit("A=x;flag;a=b="), "r_name", F.lit(";C="), F.substring("r_name", 1, 1))
+    found = filtered(Value(text, T.StringType()), {"op": "split", "split": ";", "keySplit": "=", "keyFilter": "case"}).c
+    df = table(spark, sf_dir, "region").select("r_regionkey", found.alias("m"))
+    return df.select("r_regionkey", F.col("m")["a"].alias("last"), F.col("m")["flag"].alias("alone"), F.col("m")["c"].alias("first"), F.size("m").alias("n"))
+
+
 def _status_tree(spark: SparkSession, sf_dir: str, data: dict | None = None) -> trees.Tree:
     return trees.built(table(spark, sf_dir, "orders"), [{"field": "o_orderpriority"}, {"field": "o_orderstatus", "data": data or {}}])
 

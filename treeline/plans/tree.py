@@ -2,7 +2,9 @@
 
 A tree is described by path elements: {"const": name}, {"field": column}, {"file": column, "sep": "/"},
 {"keyop": {...bundle filter}} (changes fields, makes no node), {"call": name} (the elements of that name in ``named``), {"op": ...} and
-{"debug": ...} (nothing), {"branch": [[...], [...]]}, or a list of elements. Each row touches the nodes of
+{"debug": ...} (nothing), {"branch": [[...], [...]]}, or a list of elements. Elements of a value take ``filter`` (or ``vfilter``),
+``set`` (the field that gets the value, for later elements), ``op`` (True: no node, only ``set``), ``term`` (True: nothing below)
+and ``count`` (False: touches don't count as hits). Each row touches the nodes of
 each prefix of its paths once; ``hits`` counts touches. One explode and one aggregation with map-side combining
 build the node table: path, depth, name, hits, nodes (children), and the buffers of attachments.
 """
@@ -29,15 +31,20 @@ class Tree:
     of_children: frozenset[str] = frozenset()
 
 
-def _values(df: DataFrame, element: dict) -> Column:
-    """The names of an element's nodes for a row: an array of texts, empty where the path stops."""
-    none = F.array().cast("array<string>")
+def _value(df: DataFrame, element: dict) -> Value:
+    """The value of an element for a row, filtered."""
     if "const" in element:
-        return F.array(F.lit(str(element["const"])))
-    column = element.get("field") or element.get("file") or element.get("value")
-    value = Value(F.col(f"`{column}`"), df.schema[column].dataType)
-    if element.get("filter"):
-        value = filtered(value, element["filter"])
+        value = Value(F.lit(str(element["const"])), T.StringType())
+    else:
+        column = element.get("field") or element.get("file") or element.get("value")
+        value = Value(F.col(f"`{column}`"), df.schema[column].dataType)
+    how = element.get("filter") or element.get("vfilter")
+    return filtered(value, how) if how else value
+
+
+def _names(value: Value) -> Column:
+    """The names of a value's nodes: an array of texts, empty where the path stops."""
+    none = F.array().cast("array<string>")
     if value.is_map:
         return F.coalesce(F.map_keys(value.c).cast("array<string>"), none)
     items = value.c.cast("array<string>") if value.is_array else F.array(value.text)
@@ -50,6 +57,7 @@ class _Builder:
         self.named, self.open, self.changes = named or {}, [], False
         self.touches: list[tuple[Column, int]] = []  # arrays of paths, and the element's number
         self.specs: dict[int, dict] = {}
+        self.uncounted: list[int] = []
 
     def add(self, elements: list, prefixes: Column) -> Column:
         for e in elements:
@@ -71,10 +79,14 @@ class _Builder:
                 self.open.append(name)
                 prefixes = self.add(self.named[name], prefixes)
                 self.open.pop()
-            elif "op" in e or "debug" in e:
+            elif e.get("op") is True and "set" in e:
+                self.df = self.df.withColumn(e["set"], _value(self.df, e).c)
+            elif e.get("op") or "debug" in e:
                 continue
             else:
                 prefixes = self.level(e, prefixes)
+                if e.get("term"):
+                    return F.slice(prefixes, 1, 0)
         return prefixes
 
     def changed(self, spec) -> DataFrame:
@@ -84,15 +96,20 @@ class _Builder:
         return compiled(Rows.of(self.df), spec)[0].plain()
 
     def level(self, e: dict, prefixes: Column) -> Column:
-        values = _values(self.df, e)
+        value = _value(self.df, e)
+        values = _names(value)
         if self.changes:  # later changes of fields are not for this level
             hold = f"__level{len(self.specs)}"
             self.df = self.df.withColumn(hold, values)
             values = F.col(hold)
+        if "set" in e:
+            self.df = self.df.withColumn(e["set"], value.c)
         nested = F.flatten(F.transform(prefixes, lambda p: F.transform(values, lambda v: F.array_append(p, v))))
         number = len(self.specs)
         self.specs[number] = e.get("data", {})
         self.touches.append((nested, number))
+        if not e.get("count", True):
+            self.uncounted.append(number)
         return nested
 
     def file(self, e: dict, prefixes: Column) -> Column:
@@ -112,7 +129,7 @@ def built(df: DataFrame, elements: list, where: Column | None = None, hits: str
     that others call."""
     df = df.filter(where) if where is not None else df
     b = _Builder(df, named)
-    b.changes = "'keyop'" in repr((elements, named))
+    b.changes = any(f"'{word}'" in repr((elements, named)) for word in ("keyop", "set"))
     b.add(elements, F.array(F.array().cast("array<string>")))
     df = b.df
     attachments = {n: made(s) for specs in b.specs.values() for n, s in specs.items()}
@@ -124,7 +141,8 @@ def built(df: DataFrame, elements: list, where: Column | None = None, hits: str
     touch = F.flatten(F.array(*[tagged(paths, n) for paths, n in b.touches]))
     count = F.col(f"`{hits}`").cast("long") if hits else F.lit(1).cast("long")
     rows = df.select(F.explode(touch).alias("t"), count.alias("__hits"), *[F.col(f"`{f}`").alias(a) for f, a in keys.items()]).select("t.path", "t.element", "__hits", *keys.values())
-    aggregates = [F.sum("__hits").alias("hits")]
+    counted = F.when(F.col("element").isin(b.uncounted), F.lit(0)).otherwise(F.col("__hits")) if b.uncounted else F.col("__hits")
+    aggregates = [F.sum(counted).alias("hits")]
     for n, specs in b.specs.items():
         for name in specs:
             own = lambda c, n=n: F.when(F.col("element") == n, c)
