@@ -562,6 +562,17 @@ def test_decontamination_equals_brute_force(spark, docs, none):
     assert decontam.contained(none, bench).collect() == [] and decontam.contained(docs, bench.limit(0)).collect() == []
 
 
+def test_items_are_partitioned_by_size():
+    """One depth a partition; a document with too few shingles for a partition still meets the others."""
+    texts = [prose(n, f"size{n}") for n in (6, 12, 13, 80)]
+    sketches = decontam.Sketches(list(enumerate(texts)), 5, 0.8)
+    assert [(n, least) for n, least, _, _ in sketches.partitions] == [(5, 2), (5, 7), (5, 61)]
+    for k, t in enumerate(texts):
+        assert [f[0] for f in sketches.verified(t.encode())] == [k]
+        assert [f[0] for f in sketches.verified((prose(500, "around") + " " + t).encode())] == [k]
+    assert sketches.verified(b"") == [] and decontam.Sketches([], 5, 0.8).verified(b"a b c d e") == []
+
+
 def _holds(text, items, words, grams):
     for _, s in items:
         own = words(s)

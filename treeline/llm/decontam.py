@@ -1,13 +1,16 @@
 """Benchmark decontamination (operator 10): size-partitioned MinHash containment search.
 
-Test items are partitioned by size. An item's sketch is its bottom-k MinHash over word shingles, where
-k follows from the size: a document that holds a share ``threshold`` of the n shingles lacks at most
-n - ceil(threshold * n) of them, so it holds at least one of any k = n - ceil(threshold * n) + 1, and
-the k smallest hashes serve as well as any others. Every shingle of every document is looked up in the
-sketches, and each pair found is verified by exact containment of shingle strings. No true pair is lost.
+Test items are partitioned by size: by the length of their shingles, and by the power of two below their
+number of distinct shingles. An item's sketch is its bottom-k MinHash over word shingles, where one k
+serves a partition: a document that holds a share ``threshold`` of n shingles lacks at most
+n - ceil(threshold * n) of them, so it holds at least one of any n - ceil(threshold * n) + 1, and
+the smallest hashes serve as well as any others; k is the greatest of the partition. Documents of too few
+shingles for a partition's smallest item pass it by. Every other shingle of every document is looked up in
+the partition's sketches, and each pair found is verified by exact containment of shingle strings. No true
+pair is lost.
 
 Items are the query set. They are sent to the executors in blocks of a fixed number of items and bytes;
-each block scans the documents once, and nothing is shuffled.
+each block scans the documents once more, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -37,11 +40,11 @@ def shingles_of(words: list[bytes], n: int) -> set[bytes]:
 
 
 class Sketches:
-    """The sketches of one block of items, by size of shingle and by size of item."""
+    """The sketches of one block of items, partitioned by length of shingle and by size of item."""
 
     def __init__(self, items: list[tuple[int, str]], words: int, threshold: float):
-        self.items, self.sizes, self.threshold = [], {}, threshold
-        found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        self.items, self.threshold = [], threshold
+        members: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = defaultdict(list)
         for item_id, text in items:
             raw = (text or "").encode()
             own = words_of(raw)
@@ -49,22 +52,31 @@ class Sketches:
             if not n:
                 continue
             shingles = shingles_of(own, n)
-            hashes = np.unique(shingle_hashes(word_hashes(raw), n))
-            depth = len(shingles) - needed(len(shingles), threshold) + 1
-            for h in hashes[:depth].tolist():
-                found[n][h].append(len(self.items))
+            members[n, len(shingles).bit_length()].append((len(self.items), np.unique(shingle_hashes(word_hashes(raw), n))))
             self.items.append((item_id, n, shingles))
-        for n, by_hash in found.items():
-            keys = np.array(sorted(by_hash), np.uint64)
-            self.sizes[n] = (keys, [by_hash[int(h)] for h in keys])
+        self.partitions = [(n, *self._index(own)) for (n, _), own in sorted(members.items())]
+
+    def _index(self, own: list[tuple[int, np.ndarray]]) -> tuple[int, np.ndarray, list[list[int]]]:
+        """The least number of shingles a document needs for one of the items, hashes in order, and the items of each hash."""
+        sizes = [len(self.items[k][2]) for k, _ in own]
+        depth = max(n - needed(n, self.threshold) + 1 for n in sizes)
+        found: dict[int, list[int]] = defaultdict(list)
+        for k, hashes in own:
+            for h in hashes[:depth].tolist():
+                found[h].append(k)
+        keys = np.array(sorted(found), np.uint64)
+        return min(needed(n, self.threshold) for n in sizes), keys, [found[h] for h in keys.tolist()]
 
     def candidates(self, text: bytes) -> set[int]:
         hit: set[int] = set()
-        if not self.sizes:
-            return hit
-        hashes = word_hashes(text)
-        for n, (keys, owners) in self.sizes.items():
-            own = shingle_hashes(hashes, n)
+        hashes = word_hashes(text) if self.partitions else None
+        of_length: dict[int, np.ndarray] = {}
+        for n, least, keys, owners in self.partitions:
+            if n not in of_length:
+                of_length[n] = shingle_hashes(hashes, n)
+            own = of_length[n]
+            if len(own) < least:
+                continue
             at = np.searchsorted(keys, own)
             at[at == len(keys)] = 0
             for k in np.unique(at[keys[at] == own]):
