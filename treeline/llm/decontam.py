@@ -28,7 +28,7 @@ from treeline.llm.common import shingle_hashes, table, word_hashes
 
 _WORDS = re.compile(rb"[a-z0-9\x80-\xff]+")
 WORDS, THRESHOLD = 5, 0.8
-BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32_000_000
+BLOCK_ITEMS, BLOCK_BYTES, LEADING = 20_000, 32_000_000, 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -55,6 +55,10 @@ class Sketches:
             members[n, len(shingles).bit_length()].append((len(self.items), np.unique(shingle_hashes(word_hashes(raw), n))))
             self.items.append((item_id, n, shingles))
         self.partitions = [(n, *self._index(own)) for (n, _), own in sorted(members.items())]
+        # which leading bits the hashes of all partitions have: most shingles of a document end here
+        self.leading = {n: np.zeros(1 << LEADING, bool) for n, *_ in self.partitions}
+        for n, _, keys, _ in self.partitions:
+            self.leading[n][keys >> np.uint64(64 - LEADING)] = True
 
     def _index(self, own: list[tuple[int, np.ndarray]]) -> tuple[int, np.ndarray, list[list[int]]]:
         """The least number of shingles a document needs for one of the items, hashes in order, and the items of each hash."""
@@ -70,12 +74,13 @@ class Sketches:
     def candidates(self, text: bytes) -> set[int]:
         hit: set[int] = set()
         hashes = word_hashes(text) if self.partitions else None
-        of_length: dict[int, np.ndarray] = {}
+        of_length: dict[int, tuple[int, np.ndarray]] = {}
         for n, least, keys, owners in self.partitions:
             if n not in of_length:
-                of_length[n] = shingle_hashes(hashes, n)
-            own = of_length[n]
-            if len(own) < least:
+                own = shingle_hashes(hashes, n)
+                of_length[n] = len(own), own[self.leading[n][own >> np.uint64(64 - LEADING)]]
+            size, own = of_length[n]
+            if size < least:
                 continue
             at = np.searchsorted(keys, own)
             at[at == len(keys)] = 0
