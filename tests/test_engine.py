@@ -1,5 +1,7 @@
 """Ops, filters, trees, sources and streams on small tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +216,19 @@ def test_sketches(spark):
     assert [r.v for r in passed] == ["a", "bcdefg", None, None]
 
 
+def test_exact_counts_apart_from_sketches(spark):
+    """One sketch a node, not one for each of its values; what isn't asked for isn't computed."""
+    df = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("b", None), ("b", "z")], "k string, v string")
+    data = {"n": {"type": "count", "key": "v", "ver": "exact"}, "hll": {"type": "count", "key": "v"}, "s": {"type": "count.min.sketch", "key": "k"}}
+    t = trees.built(df, [{"field": "k", "data": data}, {"field": "v", "data": {"below": {"type": "count", "key": "k", "ver": "exact"}}}])
+    assert [tuple(r) for r in trees.query(t, "+$+n,+hll,+s=total,+below").plain().collect()] == [("a", 2, 2, 3, 0), ("b", 1, 1, 2, 0)]
+    assert [tuple(r) for r in trees.query(t, "+/+$+below,+n").plain().collect()] == [("a", "x", 1, 0), ("a", "y", 1, 0), ("b", "z", 1, 0)]
+    of = lambda df: [line for line in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Aggregate(keys" in line]
+    sketches = [line for line in of(t.nodes) if "sketch" in line]
+    assert sketches and all("," not in re.search(r"keys=\[([^\]]*)\]", line)[1] for line in sketches)
+    assert len(of(trees.query(t, "+:+hits").plain())) < len(of(trees.query(t, "+:+hits$+n").plain()))
+
+
 def test_reservoir(spark):
     counts = {1: 10, 2: 12, 3: 11, 4: 9, 5: 30}
     df = spark.createDataFrame([("h", e) for e, n in counts.items() for _ in range(n)], "host string, epoch long")
