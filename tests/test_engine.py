@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions.bundle_filters import apply
 from treeline.functions.hashing import java_hash, murmur3_utf16
+from treeline.functions.sketches import in_bloom
 from treeline.functions.value_filters import Value, filtered
 from treeline.operators.registry import run, split_ops
 from treeline.plans import tree as trees
@@ -229,6 +230,27 @@ def test_exact_counts_apart_from_sketches(spark):
     assert len(of(trees.query(t, "+:+hits").plain())) < len(of(trees.query(t, "+:+hits$+n").plain()))
 
 
+def test_bloom_of_more_values_than_its_max(spark):
+    """A node of more values than ``max`` gets a larger filter, so that the error stands; others keep theirs."""
+    df = spark.range(60_000).select(F.when(F.col("id") < 59_000, "many").when(F.col("id") < 59_990, "few").otherwise("none").alias("k"), F.when(F.col("id") < 59_990, F.col("id").cast("string")).alias("v"))
+    t = trees.built(df, [{"field": "k", "data": {"b": {"type": "bloom", "key": "v", "max": 10_000, "error": 0.01}}}])
+    asked = df.select("v").filter("v IS NOT NULL").unionAll(spark.range(60_000).select((-F.col("id") - 1).cast("string").alias("v")))
+    nodes = t.nodes.select("name", F.col("`b.bits`").alias("bits"))
+    passed = asked.crossJoin(nodes).filter(in_bloom(F.col("bits"), F.col("v"), 4)).withColumn("own", ~F.startswith("v", F.lit("-")))
+    found = {(r.name, r.own): r.n for r in passed.groupBy("name", "own").agg(F.count("*").alias("n")).collect()}
+    assert found["many", True] >= 59_000 and 0 < found["many", False] < 0.02 * 60_000
+    assert 990 <= found["few", True] < 1000 and ("few", False) not in found and ("none", True) not in found
+    assert [tuple(r) for r in nodes.select("name", F.size("bits")).sort("name").collect()] == [("few", 4), ("many", 20), ("none", 4)]
+    assert [tuple(r)[1] < 51 for r in trees.query(t, "+$+b=sat").plain().collect()] == [True] * 3
+    assert [tuple(r) for r in trees.query(t, "+$+b=7~8,+b=7~-7").plain().collect()] == [("few", None, None), ("many", 1, None), ("none", None, None)]
+    known = run(Rows.of(df.select("v")), "seen=0,4,10000").plain().first()[0]
+    assert len(known) == 5 * 4 * 4096
+    kept = asked.select(filtered(Value(F.col("v")), {"op": "seen", "bloom": known}).c.alias("v")).filter("v IS NOT NULL")
+    assert kept.filter("v NOT LIKE '-%'").count() == 59_990 and kept.filter("v LIKE '-%'").count() < 0.02 * 60_000
+    nothing = run(Rows.of(df.filter("v IS NULL").select("v")), "seen=v").plain().collect()
+    assert [bytes(r[0]) for r in nothing] == [bytes(4 * 4096)]
+
+
 def test_reservoir(spark):
     counts = {1: 10, 2: 12, 3: 11, 4: 9, 5: 30}
     df = spark.createDataFrame([("h", e) for e, n in counts.items() for _ in range(n)], "host string, epoch long")

@@ -398,9 +398,11 @@ def remove_singletons(rows: Rows, args: str) -> Rows:
 
 @op("seen")
 def seen(rows: Rows, args: str) -> Rows:
-    """``column[,hashes[,max[,error]]]``: one row with a Bloom filter of the column, sized for ``max`` values."""
-    from treeline.functions.sketches import bloom_aggregate, bloom_maps
+    """``column[,hashes[,max[,error]]]``: one row with a Bloom filter of the column, sized for ``max`` values, or for all if there are more."""
+    from treeline.functions.sketches import bloom_bytes, bloom_filters, empty_bloom
 
     ref, hashes, most, error = (args.split(",") + ["", "", ""])[:4]
-    hashes = int(hashes or 4)
-    return Rows(rows.df.agg(bloom_aggregate(rows.col(ref), hashes, bloom_maps(int(most or 0), float(error or 0.01), hashes)).alias("bloom")), ("bloom",))
+    sizing = int(hashes or 4), int(most or 0), float(error or 0.01)
+    pairs = rows.df.select(F.lit(0).alias("path"), rows.col(ref).cast("string").alias("name")).filter("name IS NOT NULL").distinct()
+    one = rows.df.sparkSession.range(1).select(F.lit(0).alias("path"))
+    return Rows(one.join(bloom_filters(pairs, "bloom", *sizing), "path", "left").select(bloom_bytes(F.coalesce("bloom", empty_bloom(*sizing))).alias("bloom")), ("bloom",))
