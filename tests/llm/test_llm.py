@@ -147,6 +147,43 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), df.filter("vec_id = 0")).collect() == []
 
 
+def test_top_k_holds_no_copies_for_each_partition(spark):
+    """10,000 queries, whose copies for 800 partitions are more than the heap, meet in few tasks."""
+    cells = "transform(sequence(0, 63), j -> cast((id * (2 * j + 1)) % 31 - 15 as float) / 8) embedding"
+    df = spark.range(500000).filter("id % 50 = 0 OR id < 25").selectExpr("id vec_id", cells)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 800)
+        got = topk.top_k(df.filter("vec_id < 25"), df.filter("vec_id % 50 = 0"), query_rows=10000).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    a, b = (np.floor(256 * ((np.asarray(x)[:, None] * (2 * np.arange(64) + 1)) % 31 - 15) / 8).astype(np.int64) for x in (range(0, 500000, 50), range(25)))
+    scores = a @ b.T
+    scores[0, 0] = -(10**9)  # the query itself
+    found = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    got = got.sort_values(["query_id", "rank"])
+    assert got["query_id"].tolist() == np.repeat(np.arange(0, 500000, 50), 5).tolist()
+    assert got["vec_id"].tolist() == found.ravel().tolist()
+    assert got["score"].tolist() == np.take_along_axis(scores, found, axis=1).ravel().tolist()
+
+
+def test_top_k_of_several_groups_and_magnitudes(spark, monkeypatch):
+    """Groups of queries see all candidates each; tiles of 16-bit, double and Python integers give one order; ties and repeats cross tiles."""
+    monkeypatch.setattr(topk, "GROUP_BYTES", 300)
+    r = np.random.default_rng(5)
+    base = r.integers(-3, 4, (90, 4)).astype(float)
+    data = [(int(k), (base[k % 90] * 10.0 ** r.choice([0, 0, 0, 4, 9, 200])).tolist()) for k in r.permutation(400)]
+    data += [(k, data[0][1]) for k in (400, 401, 402, 402, 403, 403, 403)] + [(450, [0.0] * 4), (500, [0.0] * 4)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    whole = [(k, [int(x) * 256 for x in v]) for k, v in data]
+    expected = []
+    for q, a in (s for s in whole if s[0] % 50 == 0):
+        scored = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a, b, strict=True)))), k) for k, b in whole if k != q)
+        expected += [(q, n, k, -s) for n, (s, k) in enumerate(scored[:5], 1)]
+    got = topk.top_k(df, df.filter("vec_id % 50 = 0"), tile_rows=64, query_rows=2, slots=3)
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
 def test_top_k_of_huge_components(spark):
     """Finite components whose multiple overflows a double take part; scores stay within a long."""
     df = spark.createDataFrame([(0, [1e306, 1.0]), (1, [1e306, 0.0]), (2, [-1e306, 0.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
